@@ -6,8 +6,8 @@ between an opening and a closing mark; its passages are the pairs of neighbours
 in this order.  With e words only in the evaluation text (of n) and t only in
 the training text, at most 2e + t of its n + 1 passages are broken, and the
 threshold bounds e and t.  So at least ``least_passages(n)`` passages of an
-evaluation text occur in the training text, and one of them is among its
-n + 2 - least_passages(n) rarest.  Those, in shards, make Aho-Corasick automata
+evaluation text occur in the training text, and HITS of them are among its
+n + 1 - least_passages(n) + HITS rarest.  Those, in shards, make Aho-Corasick automata
 that scan all training texts; the matched intervals of a candidate are merged
 into the coverage of the evaluation text, which must reach the bound, before
 the words are compared.  Nothing is missed.
@@ -16,6 +16,7 @@ the words are compared.  Nothing is missed.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -33,6 +34,8 @@ PASSAGES_PER_SHARD = 60_000
 """Passages of one automaton: some 50 MB."""
 TEXTS_PER_BLOCK = 60_000
 """Training texts that one task holds and scans with one automaton."""
+HITS = 2
+"""Rare passages that must be met before a pair is looked at; ``least_passages`` is never less."""
 OPEN, CLOSE = "\x02", "\x03"
 
 
@@ -46,6 +49,12 @@ def least_passages(n: int, threshold: Fraction) -> int:
     return max(1, n + 1 - broken_most(n, threshold))
 
 
+def rarest(n: int, threshold: Fraction) -> int:
+    """How many of the rarest passages surely hold min(HITS, least_passages) of those that occur in both."""
+    least = least_passages(n, threshold)
+    return n + 1 - least + min(HITS, least)
+
+
 def normal_form(text: str | None) -> str:
     return " ".join(sorted(set(words(text))))
 
@@ -97,6 +106,7 @@ def _scan(threshold: Fraction):
                         automaton.add_word(p, len(posting))
                         posting.append([e])
             automaton.make_automaton()
+            needed = [least_passages(n, threshold) for n in ev["n"]]
             classes, norms = [bytes(c) for c in ev["cls"]], list(ev["norm"])
             known: dict[int, tuple[list[str], set[str], int]] = {}
             for cls, norm in zip(tr["cls"], tr["norm"], strict=True):
@@ -105,7 +115,12 @@ def _scan(threshold: Fraction):
                     continue
                 theirs, inside = set(norm.split(" ")), set(passages(norm))
                 m = len(theirs)
-                for e in {e for v in hits for e in posting[v]}:
+                count: Counter[int] = Counter()
+                for v in hits:
+                    count.update(posting[v])
+                for e, times in count.items():
+                    if times < HITS and times < needed[e]:
+                        continue
                     if e not in known:
                         own = passages(norms[e])
                         known[e] = own, set(norms[e].split(" ")), least_passages(len(own) - 1, threshold)
@@ -142,20 +157,21 @@ def overlaps(texts: DataFrame, threshold: Fraction | str = "3/4") -> tuple[DataF
     seen = train.select(F.explode(pair_hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     ev = once.where("side = 'eval'").select("field", "cls", "norm", "n", F.posexplode(pair_hashes).alias("pos", "h"))
     # the rarest passages of each evaluation text; those that no training text has match nothing, but count
-    bound = F.udf(lambda n: n + 2 - least_passages(n, threshold), "int")
-    sizes = once.where("side = 'eval'").select("n").distinct().withColumn("most", bound("n"))
+    bound = F.udf(lambda n: rarest(n, threshold), "int")
+    need = F.udf(lambda n: min(HITS, least_passages(n, threshold)), "int")
+    sizes = once.where("side = 'eval'").select("n").distinct().select("n", bound("n").alias("most"), need("n").alias("need"))
     ranked = ev.select("cls", "n", "pos", "h").join(seen, "h", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos"))).alias("all"))
-    few = ranked.join(sizes, "n").select("cls", F.expr("transform(filter(slice(all, 1, most), x -> x.df > 0), x -> x.pos)").alias("at")).where("size(at) > 0")
+    few = ranked.join(sizes, "n").select("cls", "need", F.expr("transform(filter(slice(all, 1, most), x -> x.df > 0), x -> x.pos)").alias("at")).where("size(at) >= need")
     mark = F.concat(F.array(F.lit(OPEN)), ws, F.array(F.lit(CLOSE)))
     picks = F.transform("at", lambda i: F.concat(F.lit(" "), F.get("marked", i), F.lit(" "), F.get("marked", i + 1), F.lit(" ")))
-    queries = materialise(once.where("side = 'eval'").select("field", "cls", "norm", mark.alias("marked")).join(few, "cls").select("field", "cls", "norm", picks.alias("picks")))
+    queries = materialise(once.where("side = 'eval'").select("field", "cls", "norm", "n", mark.alias("marked")).join(few, "cls").select("field", "cls", "norm", "n", picks.alias("picks")))
 
     n_passages = queries.agg(F.sum(F.size("picks"))).head()[0] or 0
     n_texts = train.count()
     shards, blocks = max(1, math.ceil(n_passages / PASSAGES_PER_SHARD)), max(1, math.ceil(n_texts / TEXTS_PER_BLOCK))
     # a grid of shards and blocks: each evaluation text in one shard, each training text in one block
     every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = queries.select("field", F.pmod(F.hash("cls"), F.lit(shards)).alias("shard"), every("block", blocks), "cls", "norm", "picks")
+    left = queries.select("field", F.pmod(F.hash("cls"), F.lit(shards)).alias("shard"), every("block", blocks), "cls", "norm", "n", "picks")
     right = train.select("field", F.pmod(F.hash("cls"), F.lit(blocks)).alias("block"), every("shard", shards), "cls", "norm")
     cell = ["field", "shard", "block"]
     links = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_scan(threshold), "eval_cls binary, train_cls binary, coverage double, similarity double")
