@@ -49,57 +49,82 @@ class Hasher:
             self.known.clear()
         known = self.known
         try:
-            return np.fromiter((known[w] for w in ws), np.uint64, len(ws))
+            return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
         except KeyError:
             for w in ws:
                 if w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter((known[w] for w in ws), np.uint64, len(ws))
-
-
-def kmers(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each run of k words, in text order, repeats included."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    x = hashes[:n]
-    for j in range(1, k):
-        x = _mix(x) * np.uint64(31) + hashes[j : j + n]
-    return _mix(x)
-
-
-def label_occurrences(x: np.ndarray) -> np.ndarray:
-    """Like *x*, but the second, third... occurrence of a value becomes a value of its own."""
-    order = np.argsort(x, kind="stable")
-    s = x[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    if new.all():
-        return x
-    at = np.arange(len(s))
-    number = at - np.maximum.accumulate(np.where(new, at, 0))
-    out = x.copy()
-    out[order] = np.where(number > 0, _mix(s + number.astype(np.uint64)), s)
-    return out
+            return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+
+
+class Texts:
+    """The k-mers of many texts in one array, in text order; the texts have at least k words each."""
+
+    def __init__(self, hashes: list[np.ndarray], k: int) -> None:
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        x = flat[: max(0, len(flat) - k + 1)]
+        for j in range(1, k):
+            x = _mix(x) * np.uint64(31) + flat[j : len(flat) - k + 1 + j]
+        last = np.repeat(np.cumsum(sizes) - k, sizes)[: len(x)]
+        self.kmers = _mix(x[np.arange(len(x)) <= last])
+        self.sizes = sizes - k + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def labelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The k-mers, where the second, third... occurrence of one in a text becomes a value of its
+        own; and the number of different k-mers of each text."""
+        x = self.kmers
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(x ^ _mix(owner.astype(np.uint64) + np.uint64(1)), kind="stable")
+        s, o = x[order], owner[order]
+        first = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1]))) if len(s) else np.empty(0, bool)
+        at = np.arange(len(s))
+        number = at - np.maximum.accumulate(np.where(first, at, 0))
+        out = x.copy()
+        again = number > 0
+        out[order[again]] = _mix(s[again] + number[again].astype(np.uint64))
+        return out, np.bincount(o[first], minlength=len(self.sizes))
+
+
+POSITION_BITS = 24
 
 
 def seeds(bands: int) -> np.ndarray:
     return _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketch(x: np.ndarray, hot: np.ndarray, sample: int, seed: np.ndarray) -> np.ndarray:
-    """One value per seed for the k-mers *x* in text order; *hot* is sorted."""
-    common = np.zeros(len(x), bool)
+def sketches(texts: Texts, hot: np.ndarray, sample: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one value per text and band, number of different k-mers of each text); *hot* is sorted.
+
+    A hash keeps 39 bits, below a bit that is set for common k-mers and above the position in the text.
+    """
+    x, distinct = texts.labelled()
+    common = np.zeros(len(x), np.uint64)
     if len(hot):
-        common = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
-    x = label_occurrences(x)
-    g = _mix(x[None, :] ^ seed[:, None]) >> np.uint64(1)
-    g[:, common] |= np.uint64(1 << 63)
-    n = min(sample, len(x))
-    picked = np.sort(np.argpartition(g, n - 1, axis=1)[:, :n], axis=1)
-    out = seed.copy()
-    for j in range(n):
-        out = _mix(out) * np.uint64(31) + x[picked[:, j]]
-    return _mix(out)
+        common = (hot[np.minimum(np.searchsorted(hot, texts.kmers), len(hot) - 1)] == texts.kmers).astype(np.uint64)
+    position = np.arange(len(x), dtype=np.uint64) - np.repeat(texts.starts, texts.sizes).astype(np.uint64)
+    low = (common << np.uint64(63)) | np.minimum(position, np.uint64(2**POSITION_BITS - 1))
+    keep = np.uint64((2**39 - 1) << POSITION_BITS)
+    mask = np.uint64(2**POSITION_BITS - 1)
+    out = np.empty((len(texts.sizes), bands), np.uint64)
+    none = np.uint64(2**64 - 1)
+    for band, seed in enumerate(seeds(bands)):
+        g = (_mix(x ^ seed) & keep) | low
+        picked = np.full((sample, len(texts.sizes)), np.iinfo(np.int64).max, np.int64)
+        for j in range(sample):
+            least = np.minimum.reduceat(g, texts.starts)
+            there = least != none
+            at = texts.starts + (least & mask).astype(np.int64)
+            picked[j, there] = at[there]
+            g[at[there]] = none
+        picked.sort(axis=0)
+        value = np.full(len(texts.sizes), seed)
+        for j in range(sample):
+            has = picked[j] < len(x)
+            value[has] = _mix(value[has]) * np.uint64(31) + x[picked[j, has]]
+        out[:, band] = _mix(value)
+    return out, distinct
 
 
 def aligned_share(a: list[str], b: list[str], band: int) -> float:
@@ -126,15 +151,35 @@ def _text_class(ws: list[str]) -> bytes:
     return xxhash.xxh3_128_digest(" ".join(ws))
 
 
+def _parts(hashes: list[np.ndarray], most: int = 300_000) -> Iterator[list[np.ndarray]]:
+    """Runs of texts of about *most* words together, so that a batch of long texts fits in memory."""
+    part: list[np.ndarray] = []
+    size = 0
+    for h in hashes:
+        part.append(h)
+        size += len(h)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def _often(part: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    u, c = np.unique(Texts(part, k).kmers, return_counts=True)
+    often = c >= max(2, len(part) // HOT_SHARE)
+    return u[often].view(np.int64), c[often]
+
+
 def _survey(df: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(key, cls, n): class of equal word sequences of each row that takes part; and (kmer, n): in how
-    many different texts of a batch a k-mer is, for those in at least one in HOT_SHARE there.  A k-mer
-    that is common in all is common in some batch, so none is lost."""
+    """(key, cls, n): class of equal word sequences of each row that takes part; and (kmer, n): how often a
+    k-mer is in the different texts of a part of a batch, if at least once in HOT_SHARE texts.  A k-mer
+    that is common in all is common in some part, so none is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys, classes, sizes, seen, found = [], [], [], set(), []
+            keys, classes, sizes, seen, hashes = [], [], [], set(), []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 if len(ws) < min_words:
@@ -145,10 +190,9 @@ def _survey(df: DataFrame, k: int, min_words: int) -> DataFrame:
                 sizes.append(len(ws))
                 if cls not in seen:
                     seen.add(cls)
-                    found.append(np.unique(kmers(hasher(ws), k)))
-            u, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = c >= max(2, len(found) // HOT_SHARE)
-            u, c = u[often].view(np.int64), c[often]
+                    hashes.append(hasher(ws))
+            often = [_often(part, k) for part in _parts(hashes, 1_500_000)] or [(np.empty(0, np.int64),) * 2]
+            u, c = (np.concatenate(x) for x in zip(*often, strict=True))
             none = pa.nulls
             yield pa.RecordBatch.from_arrays(
                 [
@@ -167,18 +211,19 @@ def _bands(df: DataFrame, hot, k: int, sample: int, bands: int, min_words: int)
     """(cls, n, bucket): for each text, its number of distinct k-mers, and one row per sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, seed, common = Hasher(), seeds(bands), hot.value
+        hasher = Hasher()
         for batch in batches:
-            done: dict[bytes, tuple[int, np.ndarray]] = {}
+            done: dict[bytes, np.ndarray] = {}
             for text in batch.column(0).to_pylist():
                 ws = words(text)
-                if len(ws) < min_words or (cls := _text_class(ws)) in done:
-                    continue
-                x = kmers(hasher(ws), k)
-                done[cls] = len(np.unique(x)), sketch(x, common, sample, seed).view(np.int64)
-            values = np.concatenate([s for _, s in done.values()]) if done else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, bands), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.binary()), pa.array([n for n, _ in done.values()], pa.int32()), lists], ["cls", "n", "buckets"])
+                if len(ws) >= min_words and (cls := _text_class(ws)) not in done:
+                    done[cls] = hasher(ws)
+            at, names = 0, list(done)
+            for part in _parts(list(done.values())):
+                values, n = sketches(Texts(part, k), hot.value, sample, bands)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + len(part)], pa.binary()), pa.array(n, pa.int32()), lists], ["cls", "n", "buckets"])
+                at += len(part)
 
     return df.mapInArrow(run, "cls binary, n int, buckets array<bigint>").select("cls", "n", F.explode("buckets").alias("bucket"))
 
