@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import p1, p2, p4, p5, p6, p7
+from . import p1, p2, p4, p5, p6, p7, p8
 
-MODULES = [p1, p2, p4, p5, p6, p7]
+MODULES = [p1, p2, p4, p5, p6, p7, p8]
 
 
 def queries() -> dict:
