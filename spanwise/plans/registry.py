@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import references
+from . import corpus, evaluation, references
 
-MODULES = [references]
+MODULES = [evaluation, corpus, references]
 
 
 def queries() -> dict:
