@@ -16,6 +16,7 @@ STOPWORDS = "a an the of to in for on at by is are was were be been it its this
 CITATION = r"(?i)\[(C\d+(?:\s*,\s*C\d+)*)\]"
 LABEL = r"(?i)C\d+"
 NUMBER = r"(?U)(?<![\w.])(\d[\d,]*(?:\.\d+)?)"
+FULL_WIDTH = "０１２３４５６７８９"
 CLAIM_TOKEN = r"\$?\d[\d,]*(?:\.\d+)?%?|[A-Z]{2,}_\d+|T\+\d+"
 CLARIFICATION = ["which plan", "which region", "could you clarify", "can you clarify", "do you mean", "did you mean", "depends on", "it depends", "which did you mean", "are you asking"]
 SOURCE = r"(?:the\s+)?(?:documentation|excerpts?|context|sources?|passages?|documents?|text|information\s+provided|provided\s+\w+)"
@@ -75,8 +76,9 @@ def strip_labels(text: Column | str) -> Column:
 
 
 def numbers_in(text: Column | str) -> Column:
-    """Numbers as doubles: thousands separators removed; digits that follow a letter, digit or point are none."""
-    raw = F.regexp_extract_all(_c(text), F.lit(NUMBER), F.lit(1))
+    """Numbers as doubles: thousands separators removed; digits that follow a letter, digit or point are none.
+    Full-width digits are digits."""
+    raw = F.regexp_extract_all(F.translate(_c(text), FULL_WIDTH, "0123456789"), F.lit(NUMBER), F.lit(1))
     return F.filter(F.transform(raw, lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")), lambda x: x.isNotNull())
 
 

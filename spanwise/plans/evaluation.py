@@ -14,7 +14,7 @@ from ..operators import retrieval as R
 from ..operators import stats as G
 from ..operators import taxonomy as X
 from ..operators import validate as V
-from .corpus import WS, tokens_sql
+
 
 KEY = ["run_id", "case_id"]
 
@@ -169,7 +169,7 @@ def budget_metrics(spark: SparkSession, d: str) -> DataFrame:
     each = both.select(*KEY, "pipeline_name", F.explode(F.array(F.struct(F.lit("configured").alias("analysis"), F.col("budget").alias("k")), F.struct(F.lit("common").alias("analysis"), F.col("common").alias("k")))).alias("x")).select(F.concat_ws("|", "x.analysis", "run_id").alias("run_id"), "case_id", "pipeline_name", "x.analysis", "x.k")
     got = _retrieved(spark, d).withColumn("a", F.explode(F.array(F.lit("configured"), F.lit("common")))).select(F.concat_ws("|", "a", "run_id").alias("run_id"), "case_id", "rank", "doc_id", "char_start", "char_end")
     cut = got.join(each.select(*KEY, "k"), KEY).where("rank <= k").drop("k")
-    scored = A.retrieval_metrics(each.select(*KEY), _spans(spark, d), cut, ks=(1000,))
+    scored = rounded(A.retrieval_metrics(each.select(*KEY), _spans(spark, d), cut, ks=(1000,)))
     docs = A.document_recall(each.select(*KEY), _expected(spark, d), cut)
     wide = each.join(scored, KEY).join(docs, KEY).withColumnsRenamed({"recall_at_1000": "recall", "precision_at_1000": "precision"})
     return wide.groupBy("analysis", "pipeline_name", "k").agg(F.count("recall").alias("n"), *[r6(F.avg(m)).alias(m) for m in ("recall", "mrr", "precision", "document_recall")])
@@ -424,4 +424,4 @@ QUERIES = {
         validate_case_documents, validate_unknown_chunks, validate_duplicates, validate_split_stratified, cache_hit_miss, judged_precision, score_ranges, event_windows,
     )
 }
-ORACLES = {}
+from .evaluation_sql import ORACLES  # noqa: E402, F401
