@@ -61,7 +61,8 @@ def structure(body: str, most: int = 1200, least: int = 120) -> list[tuple[int,
     heads = [(m.start(), len(m[1]), m[2]) for m in HEADING.finditer(body)]
     out: list[tuple[int, int, list[str]]] = []
     levels: list[str] = []
-    for (start, level, title), end in zip(heads, [*(h[0] for h in heads[1:]), len(body)], strict=True):
+    ends = [h[0] for h in heads[1:]] + [len(body)]
+    for (start, level, title), end in zip(heads, ends, strict=False):
         levels = (levels + [""] * 6)[: level - 1] + [title]
         path = [x for x in levels if x]
         if not body[start:end].strip():
