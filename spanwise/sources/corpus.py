@@ -51,8 +51,8 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [parse_document(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+            rows = [dict.fromkeys(names) | parse_document(p, bytes(c)) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.mapInPandas(run, DOCUMENT)
 
