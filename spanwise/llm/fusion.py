@@ -61,13 +61,21 @@ def rank_transform(df: DataFrame, edges: DataFrame, n_runs: int, run: str, group
 def correlations(ranked: DataFrame, columns: list[str]) -> np.ndarray:
     """Correlation matrix from rows where both of a pair are there; 0 where it is undefined.
     One aggregate over all rows; one row of sums reaches the driver."""
-    both = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
-    sums = [both(a, b).alias(f"r_{a}_{b}") for a, b in combinations(columns, 2)]
-    row = ranked.agg(*sums).head()
+    pairs = list(combinations(range(len(columns)), 2))
+    sums = []
+    for i, j in pairs:
+        a, b = F.col(columns[i]), F.col(columns[j])
+        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        sums += [F.count(x + y), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)]
+    row = ranked.agg(*[c.alias(f"s{n}") for n, c in enumerate(sums)]).head()
     matrix = np.eye(len(columns))
-    for i, j in combinations(range(len(columns)), 2):
-        r = row[f"r_{columns[i]}_{columns[j]}"] if row else None
-        matrix[i, j] = matrix[j, i] = r if r is not None and np.isfinite(r) else 0.0
+    for at, (i, j) in enumerate(pairs):
+        n, *v = row[6 * at : 6 * at + 6]
+        if n > 1:
+            sx, sy, sxx, syy, sxy = v
+            spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
+            if spread > 1e-12 * n**4:
+                matrix[i, j] = matrix[j, i] = (n * sxy - sx * sy) / spread**0.5
     return matrix
 
 

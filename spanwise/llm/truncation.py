@@ -225,8 +225,8 @@ def _limits_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         for width in WIDTHS[unit]:
             for limit in candidates(x, n, width):
                 ll, rho, p = fit_limit(x, n, limit, width)
-                # two more parameters, chosen among all lengths and widths
-                gain = ll - base - 2 * math.log(n.sum()) - 2.0
+                # two more parameters, of which the limit was chosen among all lengths and widths
+                gain = ll - base - 2 * math.log(n.sum()) - math.log(3 * len(x))
                 if gain > 0 and (best is None or gain > best[0]):
                     best = gain, unit, limit, width, rho, x, p
     if best is None:
