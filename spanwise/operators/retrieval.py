@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..common import materialise
 from ..functions import text as T
 
+MARK = "\x00"
 QUERY_BLOCK_BYTES = 32 * 2**20
 """Query vectors that one task holds.  More queries make more blocks."""
 
@@ -85,7 +87,9 @@ def bm25_weight(idf_: Column, f: Column, dl: Column, avgdl: Column | float, k1:
 def postings(docs: DataFrame) -> DataFrame:
     """(item_id, term, f, dl) from docs(item_id, text)."""
     tokens = docs.select("item_id", T.tokenize("text").alias("_t"))
-    return tokens.select("item_id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("item_id", "term", "dl").agg(F.count("*").alias("f"))
+    # explode would have the optimizer add a filter on the array, and with it tokenize every text again
+    each = tokens.select("item_id", F.size("_t").alias("dl"), F.explode_outer("_t").alias("term"))
+    return each.where("term IS NOT NULL").groupBy("item_id", "term", "dl").agg(F.count("*").alias("f"))
 
 
 def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -96,19 +100,22 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b:
     postings of terms that some query has are joined.  No more than k items of score 0 can be in a result,
     and they are among the k smallest ids, so only those are added.  Items of null text have no terms.
     """
-    docs = docs.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, total = docs.agg(F.count("*"), F.sum(F.size(T.tokenize("text")))).head()
-    post = postings(docs)
-    terms = queries.select("query_id", F.explode(T.tokenize("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = post.join(terms.select("term").distinct(), "term", "left_semi")
+    tokens = docs.select("item_id", T.tokenize(F.coalesce("text", F.lit(""))).alias("_t"))
+    terms = queries.select("query_id", F.explode_outer(T.tokenize("text")).alias("term")).where("term IS NOT NULL").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    # every item also has the mark as a term, so that one pass gives postings, number of items and total length
+    asked = terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("term")))
+    each = tokens.select("item_id", F.size("_t").alias("dl"), F.explode_outer(F.concat("_t", F.array(F.lit(MARK)))).alias("term"))
+    post = materialise(each.join(asked, "term", "left_semi").groupBy("item_id", "term", "dl").agg(F.count("*").alias("f")))
+    items = post.where(F.col("term") == MARK)
+    n, total = items.agg(F.sum("f"), F.sum(F.col("dl") * F.col("f"))).head()
+    wanted = post.where(F.col("term") != MARK)
     dfs = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(dfs, "term").select("item_id", "term", bm25_weight(idf(float(n), F.col("df")), F.col("f"), F.col("dl"), (total or 0) / n if n else 0.0, k1, b).alias("w"))
-    scored = terms.join(weighted, "term").groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("w") * F.col("times")), 9).alias("score"))
-    first = [r[0] for r in docs.select("item_id").distinct().orderBy("item_id").limit(k).collect()]  # k ids
-    fill = queries.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(x) for x in first]) if first else F.array().cast("array<string>")).alias("item_id"))
-    fill = fill.join(scored.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("score", F.lit(0.0))
-    best = top_k(scored, k, ["query_id"], item="item_id").drop("rank")
-    return top_k(best.unionByName(fill), k, ["query_id"], item="item_id")
+    weighted = wanted.join(dfs, "term").select("item_id", "term", bm25_weight(idf(float(n or 0), F.col("df")), F.col("f"), F.col("dl"), (total or 0) / n if n else 0.0, k1, b).alias("w"))
+    gains = terms.join(weighted, "term").select("query_id", "item_id", (F.col("w") * F.col("times")).alias("gain"))
+    first = [r[0] for r in items.select("item_id").distinct().orderBy("item_id").limit(k).collect()]  # k ids
+    fill = queries.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(x) for x in first]) if first else F.array().cast("array<string>")).alias("item_id"), F.lit(0.0).alias("gain"))
+    scored = gains.unionByName(fill).groupBy("query_id", "item_id").agg(F.round(F.sum("gain"), 9).alias("score"))
+    return top_k(scored, k, ["query_id"], item="item_id")
 
 
 def rrf(rankings: DataFrame, k: int, group: list[str], item: str = "chunk_id", k_rrf: int = 60) -> DataFrame:

@@ -54,7 +54,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize("text"))).alias("term"))
+    terms = table(spark, d, "documents").select("doc_id", F.explode_outer(F.array_distinct(T.tokenize("text"))).alias("term")).where("term IS NOT NULL")
     return terms.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
 
 
