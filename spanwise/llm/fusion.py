@@ -103,7 +103,8 @@ def fuse(df: DataFrame, run: str, group: list[str], position: str, item: str, di
     """
     scores = list(directions)
     signed = df.withColumns({s: F.col(s).cast("double") * d for s, d in directions.items()})
-    rows = clean(signed, group, position, item, scores, arrived)
+    # read three times below: written once, the deliveries are sorted out once
+    rows = materialise(clean(signed, group, position, item, scores, arrived))
     edges = materialise(rank_edges(rows, run, scores))
     ranked = rank_transform(rows, edges, edges.count(), run, group, scores)
     weights = loadings(correlations(ranked, [f"_r_{s}" for s in scores]))
