@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import materialise
@@ -88,6 +89,18 @@ class Texts:
 
 
 POSITION_BITS = 24
+_FILTER_BITS = np.uint64(2**20 - 1)
+
+
+def is_among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array *hot*; a bitmap rules out most before the search."""
+    out = np.zeros(len(x), bool)
+    if len(hot):
+        bitmap = np.zeros(int(_FILTER_BITS) + 1, bool)
+        bitmap[hot & _FILTER_BITS] = True
+        at = np.flatnonzero(bitmap[x & _FILTER_BITS])
+        out[at] = hot[np.minimum(np.searchsorted(hot, x[at]), len(hot) - 1)] == x[at]
+    return out
 
 
 def seeds(bands: int) -> np.ndarray:
@@ -100,9 +113,7 @@ def sketches(texts: Texts, hot: np.ndarray, sample: int, bands: int) -> tuple[np
     A hash keeps 39 bits, below a bit that is set for common k-mers and above the position in the text.
     """
     x, distinct = texts.labelled()
-    common = np.zeros(len(x), np.uint64)
-    if len(hot):
-        common = (hot[np.minimum(np.searchsorted(hot, texts.kmers), len(hot) - 1)] == texts.kmers).astype(np.uint64)
+    common = is_among(texts.kmers, hot).astype(np.uint64)
     position = np.arange(len(x), dtype=np.uint64) - np.repeat(texts.starts, texts.sizes).astype(np.uint64)
     low = (common << np.uint64(63)) | np.minimum(position, np.uint64(2**POSITION_BITS - 1))
     keep = np.uint64((2**39 - 1) << POSITION_BITS)
@@ -247,6 +258,8 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     hot = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
 
     rows = _bands(src.select("text"), hot, k, sample, bands, max(min_words, k)).repartition("bucket").dropDuplicates(["bucket", "cls"])
+    # most buckets hold one class: only the others are joined
+    rows = materialise(rows.withColumn("size", F.count("*").over(W.partitionBy("bucket"))).where("size > 1").drop("size"))
     a, b = rows.select("bucket", F.col("cls").alias("cls_a"), F.col("n").alias("n_a")), rows.select("bucket", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
     near = a.join(b, "bucket").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)))
     candidates = materialise(near.select("cls_a", "cls_b").distinct())

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import regex
-
 #: Characters without width that are removed.
 INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
-WORD = regex.compile(r"[\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[a-z0-9]+")
+#: Letters and digits of any script: word characters without the underscore.
+WORD = re.compile(r"[^\W_]+")
+_PLAIN = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str | None) -> list[str]:
