@@ -8,6 +8,7 @@ import unicodedata
 #: Characters without width that are removed.
 INVISIBLE = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 #: Letters and digits of any script: word characters without the underscore.
+_INVISIBLE = re.compile("[" + "".join(map(chr, INVISIBLE)) + "]")
 WORD = re.compile(r"[^\W_]+")
 _PLAIN = re.compile(r"[a-z0-9]+")
 
@@ -18,4 +19,6 @@ def words(text: str | None) -> list[str]:
         return []
     if text.isascii():
         return _PLAIN.findall(text.lower())
-    return WORD.findall(unicodedata.normalize("NFKC", text).translate(INVISIBLE).lower())
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return WORD.findall(_INVISIBLE.sub("", text).lower())
