@@ -106,33 +106,37 @@ def _scan(threshold: Fraction):
                         automaton.add_word(p, len(posting))
                         posting.append([e])
             automaton.make_automaton()
-            needed = [least_passages(n, threshold) for n in ev["n"]]
+            at_least = {int(n): least_passages(int(n), threshold) for n in ev["n"].unique()}
+            needed = [min(HITS, at_least[n]) for n in ev["n"]]
+            up, down = threshold.numerator, threshold.denominator
             classes, norms = [bytes(c) for c in ev["cls"]], list(ev["norm"])
             known: dict[int, tuple[list[str], set[str], int]] = {}
             for cls, norm in zip(tr["cls"], tr["norm"], strict=True):
                 hits = {v for _, v in automaton.iter(f" {OPEN} {norm} {CLOSE} ")}
                 if not hits:
                     continue
-                theirs, inside = set(norm.split(" ")), set(passages(norm))
-                m = len(theirs)
                 count: Counter[int] = Counter()
                 for v in hits:
                     count.update(posting[v])
+                theirs: set[str] = set()
                 for e, times in count.items():
-                    if times < HITS and times < needed[e]:
+                    if times < needed[e]:
                         continue
+                    if not theirs:
+                        theirs, inside = set(norm.split(" ")), set(passages(norm))
+                        m = len(theirs)
                     if e not in known:
                         own = passages(norms[e])
-                        known[e] = own, set(norms[e].split(" ")), least_passages(len(own) - 1, threshold)
+                        known[e] = own, set(norms[e].split(" ")), at_least[len(own) - 1]
                     own, ws, least = known[e]
                     n = len(ws)
-                    if min(n, m) < threshold * max(n, m):
+                    if min(n, m) * down < up * max(n, m):
                         continue
                     found, share = coverage(own, inside)
                     if found < least:
                         continue
                     both = len(ws & theirs)
-                    if both >= threshold * (n + m - both):
+                    if both * down >= up * (n + m - both):
                         out.append((classes[e], bytes(cls), share, both / (n + m - both)))
         return pd.DataFrame(out, columns=["eval_cls", "train_cls", "coverage", "similarity"])
 
