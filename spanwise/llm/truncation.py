@@ -197,17 +197,20 @@ def fit_none(x: np.ndarray, n: np.ndarray) -> float:
 
 def candidates(x: np.ndarray, n: np.ndarray, width: int, most: int = 6) -> list[int]:
     """Lengths below or at which more texts end, within *width*, than just above and well below."""
-    top = int(x.max())
-    dense = np.zeros(top + 130)
-    dense[x] = n
-    run = np.concatenate(([0.0], np.cumsum(dense)))
+    run = np.concatenate(([0.0], np.cumsum(n)))
+
+    def within(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Texts of a length from low to high."""
+        return run[np.searchsorted(x, high, side="right")] - run[np.searchsorted(x, low, side="left")]
+
     at = x[x > max(20, width)]
-    here = run[at + 1] - run[at - width]
+    here = within(at - width, at)
     reach = 2 * (width + 1) + 20
-    low = np.maximum(at - width - reach, 0)
-    around = (run[at - width] - run[low] + run[np.minimum(at + 1 + reach, top + 129)] - run[at + 1]) / (at - width - low + reach) * (width + 1)
-    gain = np.where((here >= 4) & (here > 3 * around) & (dense[at] > 0), here - 3 * around, 0)
-    return [int(v) for v in at[np.argsort(-gain, kind="stable")[:most]] if gain[np.flatnonzero(at == v)[0]] > 0]
+    low = np.maximum(at - width - reach, 1)
+    around = (within(low, at - width - 1) + within(at + 1, at + reach)) / (at - width - low + reach) * (width + 1)
+    gain = np.where((here >= 4) & (here > 3 * around), here - 3 * around, 0.0)
+    best = np.argsort(-gain, kind="stable")[:most]
+    return [int(at[i]) for i in best if gain[i] > 0]
 
 
 LIMITS = "source string, unit string, length bigint, max_size bigint, width int, share_cut double, p double"
