@@ -32,7 +32,7 @@ from .words import words
 
 PASSAGES_PER_SHARD = 300_000
 """Passages of one automaton, repeats included: at most some 250 MB."""
-TEXTS_PER_BLOCK = 12_000
+TEXTS_PER_BLOCK = 25_000
 """Training texts that one task holds and scans with one automaton."""
 HITS = 2
 """Rare passages that must be met before a pair is looked at; ``least_passages`` is never less."""
