@@ -140,10 +140,19 @@ def encode_cached(texts: DataFrame, fingerprint: str, encode_missing: Callable[[
     return cache.require(keyed).select("text", F.from_json("payload", "array<float>").alias("vector"))
 
 
-def fit_embedder(kind: str, texts: DataFrame, **params: int) -> TfidfSvd:
-    """The embedder of a configuration, fitted.  Neural and hosted models need files or a network, which are not here."""
+EMBEDDERS: dict[str, Callable] = {}
+"""Further kinds: kind -> (texts, **params) -> an object with dimension, fingerprint and vector(text)."""
+
+
+def register_embedder(kind: str, fit: Callable) -> None:
+    """Make another model available to configurations, for instance one that runs from local files."""
+    EMBEDDERS[kind] = fit
+
+
+def fit_embedder(kind: str, texts: DataFrame, **params):
+    """The embedder of a configuration, fitted on texts(text)."""
+    if kind in EMBEDDERS:
+        return EMBEDDERS[kind](texts, **params)
     if kind != "tfidf_svd":
         raise ConfigError(f"unknown or unavailable embedder: {kind!r}")
     return fit_tfidf_svd(texts, int(params.get("dimension", 256)), int(params.get("seed", 20260806)), int(params.get("features", 4096)))
-
-

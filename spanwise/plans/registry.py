@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, references
+from . import corpus, evaluation, references, streams
 
-MODULES = [evaluation, corpus, references]
+MODULES = [evaluation, corpus, references, streams]
 
 
 def queries() -> dict:

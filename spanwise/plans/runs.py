@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import platform
 from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..common import materialise
 from ..config import Config
 from ..errors import ConfigError
@@ -116,11 +118,17 @@ def run(spark: SparkSession, config: Config, docs: DataFrame, tables: dict[str,
     traces = traces.select(
         *KEY, *[F.lit(v).alias(k) for k, v in constants.items()], "split", F.col("question").alias("query"), "category", "answerable", "expected_behaviour", "retrieved", "context_labels", "context_text",
         F.substring(F.sha2("context_text", 256), 1, 16).alias("context_sha"), F.col("model").alias("generator_model"), "prompt", "answer", T.detect_abstention("answer").alias("abstained"), T.detect_clarification("answer").alias("clarification_requested"),
-        "claims", "citations", "unresolved_labels", "metrics", "prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), "latency_ms", F.lit(True).alias("cache_hit"), "errors",
+        "claims", "citations", "unresolved_labels", "metrics", "prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), "latency_ms", F.lit(True).alias("cache_hit"), "errors", F.lit(None).cast("double").alias("estimated_cost_usd"), environment(spark, config.seed).alias("environment"),
     )
     return {"chunks": chunks, "retrieved": ranked, "traces": traces, "claims": claims, "citations": citations, "metrics": metrics, "summary": summary(metrics, answered)}
 
 
+def environment(spark: SparkSession, seed: int):
+    """What a run depends on besides its inputs, as a map of texts."""
+    values = {"python": platform.python_version(), "platform": platform.platform(), "spark": spark.version, "spanwise": __version__, "seed": str(seed)}
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
 def fact_coverage(answered: DataFrame, facts: DataFrame) -> DataFrame:
     """(run_id, case_id, required_fact_coverage).  The facts of a data set are few and declared: each distinct
     matcher is compiled to an expression, once, and applied to the answers of its cases."""

@@ -54,19 +54,37 @@ def compare(baseline: DataFrame, improved: DataFrame, resamples: int = G.RESAMPL
         "abstention": {"accuracy": {k: small(v) for k, v in rows.get("abstention_correct", {}).items()}, "baseline_confusion": seen(b), "improved_confusion": seen(i)},
         "per_category": [{k: small(v) for k, v in r.asDict().items()} for r in cats.orderBy("category", "metric").collect()],
         "latency": {"baseline": latency(b), "improved": latency(i)},
+        "provenance": {arm: provenance(t) for arm, t in (("baseline", baseline), ("improved", improved))},
         "resamples": resamples,
         "seed": seed,
     }
 
 
+def provenance(traces: DataFrame) -> dict[str, Any]:
+    """What the traces of a run say about how they were made."""
+    names = ("pipeline_hash", "corpus_manifest_sha", "dataset_id", "generator_model", "template_sha")
+    row = traces.select(*names).head()
+    return row.asDict() if row else dict.fromkeys(names)
+
+
 def _number(x: float | None, spec: str = ".3f") -> str:
     return "-" if x is None else format(x, spec)
 
 
-def as_markdown(c: dict[str, Any]) -> str:
-    def table(head: list[str], rows: list[list]) -> list[str]:
-        return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), ""]
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(x) for x in r) + " |" for r in rows), ""]
+
+
+def _write(folder: str | Path, texts: dict[str, str]) -> dict[str, Path]:
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode("utf-8"))
+    return {name: folder / name for name in texts}
+
 
+def as_markdown(c: dict[str, Any]) -> str:
+    table = _table
     ci = lambda m: f"[{_number(m['ci_low'], '+.3f')}, {_number(m['ci_high'], '+.3f')}]"
     out = [f"# {c['baseline_run']} against {c['improved_run']}, split {c['split']}, {c['n_cases']} cases", ""]
     out += [f"Paired bootstrap over cases: {c['resamples']} resamples, seed {c['seed']}, 95% intervals. An interval that holds zero is no measurable difference.", ""]
@@ -92,12 +110,7 @@ def as_csv(rows: list[dict[str, Any]], first: list[str] | None = None) -> str:
 
 def write_comparison(c: dict[str, Any], folder: str | Path) -> dict[str, Path]:
     """comparison.json, comparison.md and metrics.csv, with line feeds on every system."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
-    texts = {"comparison.json": json.dumps(c, indent=2, sort_keys=True) + "\n", "comparison.md": as_markdown(c) + "\n", "metrics.csv": as_csv(c["metrics"])}
-    for name, text in texts.items():
-        (folder / name).write_bytes(text.encode("utf-8"))
-    return {name: folder / name for name in texts}
+    return _write(folder, {"comparison.json": json.dumps(c, indent=2, sort_keys=True) + "\n", "comparison.md": as_markdown(c) + "\n", "metrics.csv": as_csv(c["metrics"])})
 
 
 def rescore(baseline: DataFrame, improved: DataFrame, spans: DataFrame, expected: DataFrame, threshold: float = 0.5, seed: int = G.SEED) -> list[dict[str, Any]]:
@@ -121,3 +134,24 @@ def rescore(baseline: DataFrame, improved: DataFrame, spans: DataFrame, expected
         rows = {r["metric"]: r.asDict() for r in G.compare_exact(pairs, seed=seed).collect()}
         out += [{"analysis": analysis, **rows[m]} for m in RESCORED if m in rows]
     return out
+
+
+def write_rescored(rows: list[dict[str, Any]], folder: str | Path, split: str) -> dict[str, Path]:
+    """The rows of ``rescore`` as JSON, Markdown and CSV, with line feeds on every system."""
+    head = ["analysis", "metric", "n", "baseline", "improved", "delta", "interval", "verdict"]
+    cells = [[r["analysis"], r["metric"], r["n_paired"], _number(r["baseline_mean"]), _number(r["improved_mean"]), _number(r["delta"], "+.3f"), f"[{_number(r['ci_low'], '+.3f')}, {_number(r['ci_high'], '+.3f')}]", r["direction"]] for r in rows]
+    md = "\n".join([f"# Stored retrievals scored again, split {split}", "", "Configured: each arm at its own budget. Common: both at the smaller one.", "", *_table(head, cells)])
+    return _write(folder, {"comparison.json": json.dumps(rows, indent=2, sort_keys=True) + "\n", "comparison.md": md + "\n", "comparison.csv": as_csv(rows, ["analysis"])})
+
+
+def write_ablation(grid: DataFrame, variant: list[str], folder: str | Path) -> dict[str, Path]:
+    """A table of variants (a handful of rows) as JSON, Markdown and CSV."""
+    rows = [r.asDict() for r in grid.orderBy(*variant).collect()]
+    head = grid.columns
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(head)
+    w.writerows([r[c] for c in head] for r in rows)
+    cells = [[_number(r[c], ".4f") if isinstance(r[c], float) or r[c] is None else r[c] for c in head] for r in rows]
+    md = "\n".join(["# Variants", "", *_table(head, cells)])
+    return _write(folder, {"ablation.json": json.dumps(rows, indent=2, sort_keys=True, default=str) + "\n", "ablation.md": md + "\n", "ablation.csv": out.getvalue()})

@@ -158,6 +158,13 @@ def test_comparison_and_rescoring(spark, world, tmp_path):
     again = report.rescore(b, i, tables["spans"].withColumn("span_id", F.col("span_idx")), tables["cases"].select("case_id", F.explode("expected_document_ids").alias("doc_id")))
     assert {r["analysis"] for r in again} == {"configured", "common"}
     assert report.as_csv(again, ["analysis"]).splitlines()[0].startswith("analysis,metric")
+    assert c["provenance"]["improved"]["pipeline_hash"] == config.load_config(root / "better.yaml").pipeline_hash
+    assert b"\r" not in report.write_rescored(again, tmp_path / "again", "dev")["comparison.csv"].read_bytes()
+    grid = spark.createDataFrame([("a", 4, 0.5), ("b", 8, None)], "kind string, top_k int, mrr double")
+    assert report.write_ablation(grid, ["kind", "top_k"], tmp_path / "grid")["ablation.csv"].read_text() == "kind,top_k,mrr\na,4,0.5\nb,8,\n"
+    assert b.select("environment").head()[0]["seed"] == "20260806"
+    near = V.near_figures(grid.select("kind", F.col("mrr").alias("value")), spark.createDataFrame([("a", 0.5004)], "kind string, value double"), ["kind"])
+    assert [r.kind for r in near.collect()] == ["b"]
 
 
 def test_cache(spark, tmp_path):
