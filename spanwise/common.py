@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import os
+import site
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +24,46 @@ def session(master: str | None = None, app: str = "spanwise", **conf: str) -> Sp
         "spark.ui.showConsoleProgress": "false",
     } | conf
     builder = SparkSession.builder.appName(app).config(map=settings)
-    return (builder.master(master) if master else builder).getOrCreate()
+    spark = (builder.master(master) if master else builder).getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that would not find it by themselves.
+
+    On one machine they find it by PYTHONPATH, the working folder or the site packages; where they do not,
+    and on a cluster unless it is installed, the package's source goes along as a zip file, once.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    found = [*site.getsitepackages(), site.getusersitepackages()]
+    if sc.master.startswith("local"):
+        found += os.environ.get("PYTHONPATH", "").split(os.pathsep)
+        if not sc.master.startswith("local-cluster"):
+            found.append(os.getcwd())
+    if sc.applicationId in _shipped or root in {Path(p).resolve() for p in found if p}:
+        return
+    target = Path(tempfile.mkdtemp(prefix="spanwise-code-")) / "spanwise.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "spanwise").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """*query*, which first sees to it that workers find this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

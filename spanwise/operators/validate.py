@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-REQUIRED = ("title", "version", "effective_date", "status", "owner")
+REQUIRED = ("doc_id", "title", "version", "effective_date")
 #: Traces of text that was decoded with the wrong encoding.  Fixed values.
 MOJIBAKE = ("â€", "Ã©", "Â ")
 

@@ -186,7 +186,7 @@ UNION ALL SELECT 'words', coalesce(sum({words_sql("body")}), 0)::BIGINT FROM d W
 """,
     "authoritative_facts": f"{M.with_('do')} SELECT fact_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(list_distinct(authoritative_for)) AS fact_id FROM d) WHERE fact_id IS NOT NULL GROUP BY fact_id HAVING count(*) > 1",
     "validate_front_matter": f"""
-{M.with_("do")}, m AS (SELECT doc_id, list_filter([CASE WHEN title IS NULL THEN 'title' END, CASE WHEN version IS NULL THEN 'version' END, CASE WHEN effective_date IS NULL THEN 'effective_date' END, CASE WHEN status IS NULL THEN 'status' END, CASE WHEN owner IS NULL THEN 'owner' END], lambda x: x IS NOT NULL) AS missing, synthetic IS DISTINCT FROM true AS not_synthetic, coalesce(trim(disclaimer), '') = '' AS no_disclaimer FROM d)
+{M.with_("do")}, m AS (SELECT doc_id, list_filter([CASE WHEN doc_id IS NULL THEN 'doc_id' END, CASE WHEN title IS NULL THEN 'title' END, CASE WHEN version IS NULL THEN 'version' END, CASE WHEN effective_date IS NULL THEN 'effective_date' END], lambda x: x IS NOT NULL) AS missing, synthetic IS DISTINCT FROM true AS not_synthetic, coalesce(trim(disclaimer), '') = '' AS no_disclaimer FROM d)
 SELECT doc_id, array_to_string(missing, ',') AS missing, not_synthetic, no_disclaimer FROM m WHERE len(missing) > 0 OR not_synthetic OR no_disclaimer
 """,
     "validate_superseded": f"{M.with_('do')} SELECT a.doc_id, a.supersedes, b.doc_id IS NOT NULL AS exists FROM d a LEFT JOIN d b ON b.doc_id = a.supersedes WHERE a.supersedes IS NOT NULL AND (b.doc_id IS NULL OR b.superseded_by IS NULL OR b.superseded_by <> a.doc_id)",
