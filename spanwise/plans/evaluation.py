@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import materialise, table
 from ..functions import spans as S
 from ..functions import text as T
 from ..operators import metrics as A
@@ -162,13 +162,12 @@ def retrieval_scorecard(spark: SparkSession, d: str) -> DataFrame:
 def budget_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Means at each pipeline's own budget (its smallest top_k) and at the common one."""
     runs = _ok(_traces(spark, d)).where("pipeline_name IS NOT NULL AND top_k IS NOT NULL")
-    own = G.budgets(runs, "pipeline_name")
-    common = own.agg(F.min("budget").alias("common"))
-    # one row per pipeline, and one: a handful
-    both = runs.select(*KEY, "pipeline_name").join(own, "pipeline_name").join(F.broadcast(common), F.lit(True))
-    each = both.select(*KEY, "pipeline_name", F.explode(F.array(F.struct(F.lit("configured").alias("analysis"), F.col("budget").alias("k")), F.struct(F.lit("common").alias("analysis"), F.col("common").alias("k")))).alias("x")).select(F.concat_ws("|", "x.analysis", "run_id").alias("run_id"), "case_id", "pipeline_name", "x.analysis", "x.k")
+    own = materialise(G.budgets(runs, "pipeline_name"))
+    common = own.agg(F.min("budget")).head()[0]  # one number
+    both = runs.select(*KEY, "pipeline_name").join(own, "pipeline_name").withColumn("common", F.lit(common).cast("int"))
+    each = materialise(both.select(*KEY, "pipeline_name", F.explode(F.array(F.struct(F.lit("configured").alias("analysis"), F.col("budget").alias("k")), F.struct(F.lit("common").alias("analysis"), F.col("common").alias("k")))).alias("x")).select(F.concat_ws("|", "x.analysis", "run_id").alias("run_id"), "case_id", "pipeline_name", "x.analysis", "x.k"))
     got = _retrieved(spark, d).withColumn("a", F.explode(F.array(F.lit("configured"), F.lit("common")))).select(F.concat_ws("|", "a", "run_id").alias("run_id"), "case_id", "rank", "doc_id", "char_start", "char_end")
-    cut = got.join(each.select(*KEY, "k"), KEY).where("rank <= k").drop("k")
+    cut = materialise(got.join(each.select(*KEY, "k"), KEY).where("rank <= k").drop("k"))
     scored = rounded(A.retrieval_metrics(each.select(*KEY), _spans(spark, d), cut, ks=(1000,)))
     docs = A.document_recall(each.select(*KEY), _expected(spark, d), cut)
     wide = each.join(scored, KEY).join(docs, KEY).withColumnsRenamed({"recall_at_1000": "recall", "precision_at_1000": "precision"})
@@ -212,11 +211,16 @@ def bind_citations(spark: SparkSession, d: str) -> DataFrame:
     return A.bind_citations(A.claims(_traces(spark, d)), _labels(spark, d), _retrieved(spark, d), docs)
 
 
+def _bound_labels(traces: DataFrame, retrieved: DataFrame) -> DataFrame:
+    answers = traces.where("answer IS NOT NULL").select(*KEY, F.lit("cl0").alias("claim_id"), T.extract_labels("answer").alias("cited_labels"))
+    labels = traces.select(*KEY, F.explode("context_labels").alias("label", "chunk_id"))
+    bound = A.bind_citations(answers, labels, retrieved)
+    return bound.groupBy(*KEY).agg(F.count("*").alias("n_citations"), F.count(F.when(F.col("resolved"), 1)).alias("n_resolved"), F.countDistinct(F.when(F.col("resolved"), F.col("doc_id"))).alias("n_documents"))
+
+
 def bind_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels of whole answers: how many lead to a retrieved chunk, and how many nowhere."""
-    answers = _traces(spark, d).where("answer IS NOT NULL").select(*KEY, F.lit("cl0").alias("claim_id"), T.extract_labels("answer").alias("cited_labels"))
-    bound = A.bind_citations(answers, _labels(spark, d), _retrieved(spark, d))
-    return bound.groupBy(*KEY).agg(F.count("*").alias("n_citations"), F.count(F.when(F.col("resolved"), 1)).alias("n_resolved"), F.countDistinct(F.when(F.col("resolved"), F.col("doc_id"))).alias("n_documents"))
+    return _bound_labels(_traces(spark, d), _retrieved(spark, d))
 
 
 def citation_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -249,10 +253,12 @@ def forbidden_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def case_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every metric of every case of every run, one wide row each."""
-    t = _traces(spark, d)
+    """Every metric of every case of every run, one wide row each.  What several metrics read is written once."""
+    t = materialise(_traces(spark, d))
     claims = _spans(spark, d).where("case_id IS NOT NULL AND NOT coalesce(authoritative, false)").select("case_id", F.col("quote").alias("claim"))
-    return rounded(A.score(t, _spans(spark, d), _retrieved(spark, d), _expected(spark, d), _facts(spark, d), claims, _labels(spark, d)).drop("errors"))
+    got = materialise(_retrieved(spark, d).select(*KEY, "rank", "chunk_id", "doc_id", "char_start", "char_end"))
+    labels = t.select(*KEY, F.explode("context_labels").alias("label", "chunk_id"))
+    return rounded(A.score(t, _spans(spark, d), got, _expected(spark, d), _facts(spark, d), claims, labels).drop("errors"))
 
 
 # --- summaries and comparisons ---
@@ -302,7 +308,7 @@ def _arm(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return G.pair(_arm(spark, d, "baseline"), _arm(spark, d, "improved"), METRICS)
+    return materialise(G.pair(_arm(spark, d, "baseline"), _arm(spark, d, "improved"), METRICS))
 
 
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -329,7 +335,7 @@ def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
 def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Change of each kind of retrieval from the dense one."""
     m = _ok(_traces(spark, d)).select(*KEY, "retrieval_kind").join(retrieval_metrics(spark, d), KEY)
-    long = G.summarise(m, ["retrieval_kind"], ["recall_at_5", "mrr", "precision_at_5"]).select("retrieval_kind", "metric", F.col("mean").alias("value"))
+    long = materialise(G.summarise(m, ["retrieval_kind"], ["recall_at_5", "mrr", "precision_at_5"]).select("retrieval_kind", "metric", F.col("mean").alias("value")))
     return rounded(G.deltas(long, "retrieval_kind", "dense").select("retrieval_kind", "metric", "value", "delta"))
 
 
@@ -337,8 +343,9 @@ def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    t = _traces(spark, d)
-    want, got = _expected(spark, d), _retrieved(spark, d).select(*KEY, "doc_id").distinct()
+    t = materialise(_traces(spark, d))
+    retrieved = materialise(_retrieved(spark, d).select(*KEY, "rank", "chunk_id", "doc_id", "char_start", "char_end"))
+    want, got = _expected(spark, d), retrieved.select(*KEY, "doc_id").distinct()
     met = got.join(want, ["case_id", "doc_id"]).select(*KEY).distinct().withColumn("met_docs", F.lit(True))
     any_ = got.select(*KEY).distinct().withColumn("any_docs", F.lit(True))
     exp = want.select("case_id").distinct().withColumn("expects_docs", F.lit(True))
@@ -346,8 +353,8 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     facts = A.numeric_facts(t.select(*KEY, "answer"), _facts(spark, d))
     claims = _spans(spark, d).where("case_id IS NOT NULL AND NOT coalesce(authoritative, false)").select("case_id", F.col("quote").alias("claim"))
     forb = A.forbidden_claims(t.select(*KEY, "answer"), claims)
-    fab = bind_labels(spark, d).select(*KEY, (F.col("n_citations") - F.col("n_resolved")).alias("n_fabricated"))
-    m = A.retrieval_metrics(t.select(*KEY), _spans(spark, d), _retrieved(spark, d), ks=(5,)).select(*KEY, "recall_at_5")
+    fab = _bound_labels(t, retrieved).select(*KEY, (F.col("n_citations") - F.col("n_resolved")).alias("n_fabricated"))
+    m = A.retrieval_metrics(t.select(*KEY), _spans(spark, d), retrieved, ks=(5,)).select(*KEY, "recall_at_5")
     out = t.select(*KEY, "category", "answerable", "errors", F.lit(None).cast("double").alias("claim_citation_coverage"))
     for part in (light, facts, forb, fab, m, met, any_):
         out = out.join(part, KEY, "left")
