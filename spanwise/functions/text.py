@@ -34,6 +34,8 @@ ABSTENTION = "|".join(
     ]
 )
 ABBREVIATIONS = ["No.", "e.g.", "i.e.", "vs.", "approx.", "Inc.", "Ltd.", "cf."]
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9$])"
+BULLET = r"\s*(?:[-*•]|\d+[.)])\s+"
 # --- end of fixed values ---
 
 
@@ -127,8 +129,8 @@ def nfc(text: pd.Series) -> pd.Series:
 
 
 _GUARD = "".join(rf"(?<!\b{re.escape(a)})" for a in ABBREVIATIONS)
-_SENTENCE = re.compile(rf"{_GUARD}(?<=[.!?])\s+(?=[A-Z0-9$])")
-_BULLET = re.compile(r"\s*(?:[-*•]|\d+[.)])\s+")
+_SENTENCE = re.compile(_GUARD + SENTENCE_GAP)
+_BULLET = re.compile(BULLET)
 _LABELS = re.compile(r"\[(C\d+(?:\s*,\s*C\d+)*)\]", re.I)
 CLAIM = ST.ArrayType(
     ST.StructType(

@@ -33,8 +33,8 @@ def order_statistics(df: DataFrame, by: list[str], value: str, shares: dict[str,
     """(by..., n, one column per share): the value at place floor(share * n) (0-based, the last at most) of the
     sorted values; exact.
 
-    Counts per range of *width* find the range that holds the place; only its values are then ranked.  So a
-    group of any size is never sorted in one task.  Nulls are left out; groups without a value too.
+    Counts per range of *width* find the range that holds the place; only its different values are then
+    ordered.  So a group of any size is never sorted in one task.  Nulls are left out; groups without a value too.
     """
     own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"), F.floor(F.col(value) / width).alias("bin"))
     counts = own.groupBy(*by, "bin").agg(F.count("*").alias("n_bin"))
@@ -43,8 +43,10 @@ def order_statistics(df: DataFrame, by: list[str], value: str, shares: dict[str,
     place = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n") * s), F.col("n") - 1).alias("at")) for k, s in shares.items()]))
     wanted = sums.select(*by, "bin", "n", "before", "n_bin", place.alias("p")).where("p.at >= before AND p.at < before + n_bin")
     bins = wanted.select(*by, "bin").distinct()
-    ranked = own.join(bins, [*by, "bin"]).withColumn("i", F.row_number().over(W.partitionBy(*by, "bin").orderBy("v")) - 1)
-    found = ranked.join(wanted, [*by, "bin"]).where("i = p.at - before")
+    # values with their numbers: one that a third of all rows share is one row here
+    values = own.join(bins, [*by, "bin"]).groupBy(*by, "bin", "v").agg(F.count("*").alias("c"))
+    upto = values.withColumn("upto", F.sum("c").over(W.partitionBy(*by, "bin").orderBy("v")))
+    found = upto.join(wanted, [*by, "bin"]).where("p.at - before >= upto - c AND p.at - before < upto")
     return found.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("p.name") == k, F.col("v"))).alias(k) for k in shares])
 
 

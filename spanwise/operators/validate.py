@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Keys that front matter must have; fixed values.
 REQUIRED = ("doc_id", "title", "version", "effective_date")
 #: Traces of text that was decoded with the wrong encoding.  Fixed values.
 MOJIBAKE = ("â€", "Ã©", "Â ")
@@ -92,6 +93,7 @@ def near_figures(shown: DataFrame, report: DataFrame, keys: list[str], tolerance
     return both.where(F.col("reported").isNull() | (F.abs(F.col("value") - F.col("reported")) > tolerance))
 
 
+#: Form of case ids and the categories of cases; fixed values.
 CASE_ID = r"^[FMAUBTC]-\d{2}$"
 CATEGORIES = ["factual", "multi_hop", "aggregation", "unanswerable", "ambiguous", "temporal", "citation_stress"]
 

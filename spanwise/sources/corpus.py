@@ -18,6 +18,7 @@ DOCUMENT = (
     "path string, doc_id string, title string, body string, version string, effective_date string, status string, supersedes string, "
     "superseded_by string, owner string, synthetic boolean, disclaimer string, authoritative_for array<string>, sha256 string, problem string"
 )
+#: Front matter and body; fixed value.
 _PARTS = re.compile(r"\A---\n(.*?)\n---\n(.*)\Z", re.DOTALL)
 _TEXTS = ("title", "version", "effective_date", "status", "supersedes", "superseded_by", "owner", "disclaimer")
 
