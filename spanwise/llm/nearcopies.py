@@ -3,11 +3,11 @@
 A text is the sequence of its words; its k-mers are labelled with their
 occurrence number.  Each of *bands* samples takes the *sample* smallest
 labelled k-mers under its own hash and keeps them in text order, so that texts
-agree in a sample when they share those k-mers in the same order.  K-mers found
-in at least one text of a thousand come last in the order of sampling: common
-phrases then fill no buckets, and a text that has nothing else is still sampled.
-Candidates agree in a sample; a banded alignment gives their edit similarity,
-and the exact share of common k-mers decides.
+agree in a sample when they share those k-mers in the same order.  Candidates
+agree in a sample.  Common phrases fill some buckets with many texts: those are
+not paired there, but by an exact prefix filter over the k-mers of the texts in
+such buckets, the rarest first.  A banded alignment gives the edit similarity of
+candidates, and the exact share of common k-mers decides.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ HOT_SHARE = 1000
 """A k-mer is common from one text in so many.  There are at most HOT_SHARE times the mean number of
 k-mers of a text, however many texts there are: the list that is broadcast is bounded."""
 HOT_LEAST = 20
+MOST_IN_BUCKET = 200
+"""Texts of a larger bucket are paired by the prefix filter, which loses no pair."""
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
 
@@ -71,10 +73,13 @@ class Texts:
         self.kmers = _mix(x[np.arange(len(x)) <= last])
         self.sizes = sizes - k + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known: tuple[np.ndarray, np.ndarray] | None = None
 
     def labelled(self) -> tuple[np.ndarray, np.ndarray]:
         """The k-mers, where the second, third... occurrence of one in a text becomes a value of its
         own; and the number of different k-mers of each text."""
+        if self.known is not None:
+            return self.known
         x = self.kmers
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         order = np.argsort(x ^ _mix(owner.astype(np.uint64) + np.uint64(1)), kind="stable")
@@ -85,7 +90,8 @@ class Texts:
         out = x.copy()
         again = number > 0
         out[order[again]] = _mix(s[again] + number[again].astype(np.uint64))
-        return out, np.bincount(o[first], minlength=len(self.sizes))
+        self.known = out, np.bincount(o[first], minlength=len(self.sizes))
+        return self.known
 
 
 POSITION_BITS = 24
@@ -110,7 +116,8 @@ def seeds(bands: int) -> np.ndarray:
 def sketches(texts: Texts, hot: np.ndarray, sample: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
     """(one value per text and band, number of different k-mers of each text); *hot* is sorted.
 
-    A hash keeps 39 bits, below a bit that is set for common k-mers and above the position in the text.
+    A hash keeps 39 bits, below a bit that is set for k-mers in *hot* and above the position in the text.
+    Pairs that share little but k-mers in *hot* hardly ever agree: to find all pairs, *hot* has to be empty.
     """
     x, distinct = texts.labelled()
     common = is_among(texts.kmers, hot).astype(np.uint64)
@@ -138,6 +145,42 @@ def sketches(texts: Texts, hot: np.ndarray, sample: int, bands: int) -> tuple[np
     return out, distinct
 
 
+MARK_BITS = 128
+
+
+def marks(texts: Texts) -> np.ndarray:
+    """Two values per text: bit i tells whether an odd number of its different k-mers falls to i.  Two texts
+    differ in at least as many k-mers as their marks do in bits."""
+    first = texts.labelled()[0] == texts.kmers
+    owner = np.repeat(np.arange(len(texts.sizes)), texts.sizes)[first]
+    bit = (texts.kmers[first] >> np.uint64(57)).astype(np.int64)
+    odd = np.bincount(owner * MARK_BITS + bit, minlength=len(texts.sizes) * MARK_BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(-1, MARK_BITS), axis=1).view(np.uint64)
+
+
+def prefixes(texts: Texts, hot: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, k-mer, its place, number of different k-mers of the text): the first k-mers of each text, rarest first.
+
+    The order is the same for all texts: by *counts* of the sorted *hot*, 0 for others, then by value.  Two
+    texts that share *threshold* of their k-mers share one of those returned here, whatever the counts.
+    """
+    x = texts.kmers
+    owner = np.repeat(np.arange(len(texts.sizes)), texts.sizes)
+    often = np.zeros(len(x), np.int64)
+    common = is_among(x, hot)
+    often[common] = counts[np.searchsorted(hot, x[common])]
+    order = np.lexsort((x, often, owner))
+    x, owner = x[order], owner[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
+    x, owner = x[first], owner[first]
+    n = np.bincount(owner, minlength=len(texts.sizes))
+    place = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    shared = np.maximum(1, np.ceil(threshold * n - 1e-6)).astype(np.int64)
+    keep = place <= (n - shared)[owner]
+    return owner[keep], x[keep], place[keep], n[owner[keep]]
+
+
 def aligned_share(a: list[str], b: list[str], band: int) -> float:
     """Edit similarity by insertions and deletions, 2 L / (|a| + |b|), where L is the longest common
     subsequence whose matches lie within *band* of the main diagonal (scaled); bit-parallel."""
@@ -218,8 +261,8 @@ def _survey(df: DataFrame, k: int, min_words: int) -> DataFrame:
     return df.mapInArrow(run, "key string, cls binary, kmer bigint, n bigint")
 
 
-def _bands(df: DataFrame, hot, k: int, sample: int, bands: int, min_words: int) -> DataFrame:
-    """(cls, n, bucket): for each text, its number of distinct k-mers, and one row per sample."""
+def _bands(df: DataFrame, k: int, sample: int, bands: int, min_words: int) -> DataFrame:
+    """(cls, n, m0, m1, bucket): for each text, its number of distinct k-mers, its marks, and one row per sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -231,12 +274,41 @@ def _bands(df: DataFrame, hot, k: int, sample: int, bands: int, min_words: int)
                     done[cls] = hasher(ws)
             at, names = 0, list(done)
             for part in _parts(list(done.values())):
-                values, n = sketches(Texts(part, k), hot.value, sample, bands)
+                own = Texts(part, k)
+                values, n = sketches(own, np.empty(0, np.uint64), sample, bands)
+                m = marks(own).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + len(part)], pa.binary()), pa.array(n, pa.int32()), lists], ["cls", "n", "buckets"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + len(part)], pa.binary()), pa.array(n, pa.int32()), pa.array(m[:, 0]), pa.array(m[:, 1]), lists], ["cls", "n", "m0", "m1", "buckets"])
+                at += len(part)
+
+    return df.mapInArrow(run, "cls binary, n int, m0 bigint, m1 bigint, buckets array<bigint>").select("cls", "n", "m0", "m1", F.explode("buckets").alias("bucket"))
+
+
+def _prefixes(df: DataFrame, hot, k: int, threshold: float) -> DataFrame:
+    """(cls, kmer, place, n, m0, m1) of texts whose words are separated by one space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            at, names = 0, batch.column(0)
+            for part in _parts([hasher(t.split(" ")) for t in batch.column(1).to_pylist()]):
+                own = Texts(part, k)
+                text, kmer, place, n = prefixes(own, *hot.value, threshold)
+                m = marks(own).view(np.int64)[text]
+                cls = names.slice(at, len(part)).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([cls, pa.array(kmer.view(np.int64)), pa.array(place, pa.int32()), pa.array(n, pa.int32()), pa.array(m[:, 0]), pa.array(m[:, 1])], ["cls", "kmer", "place", "n", "m0", "m1"])
                 at += len(part)
 
-    return df.mapInArrow(run, "cls binary, n int, buckets array<bigint>").select("cls", "n", F.explode("buckets").alias("bucket"))
+    return df.mapInArrow(run, "cls binary, kmer bigint, place int, n int, m0 bigint, m1 bigint")
+
+
+def _shared(df: DataFrame, by: str) -> DataFrame:
+    """*df* with the number of rows of the same *by*, where it is more than one: most hold one class and need no join."""
+    return df.withColumn("size", F.count("*").over(W.partitionBy(by))).where("size > 1")
+
+
+def _side(df: DataFrame, by: str, s: str) -> DataFrame:
+    return df.select(by, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != by])
 
 
 def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: float = 0.8, min_words: int = 15, sample: int = 2, bands: int = 24) -> tuple[DataFrame, DataFrame]:
@@ -254,37 +326,48 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     survey = materialise(_survey(src, k, max(min_words, k)))
     members = survey.where("cls IS NOT NULL").select("key", "cls").distinct()
     least = max(HOT_LEAST, survey.where("cls IS NOT NULL").count() // HOT_SHARE)
-    common = survey.where("kmer IS NOT NULL").groupBy("kmer").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("kmer").toPandas()["kmer"].to_numpy(np.int64)
-    hot = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
-
-    rows = _bands(src.select("text"), hot, k, sample, bands, max(min_words, k)).repartition("bucket").dropDuplicates(["bucket", "cls"])
-    # most buckets hold one class: only the others are joined
-    rows = materialise(rows.withColumn("size", F.count("*").over(W.partitionBy("bucket"))).where("size > 1").drop("size"))
-    a, b = rows.select("bucket", F.col("cls").alias("cls_a"), F.col("n").alias("n_a")), rows.select("bucket", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
-    near = a.join(b, "bucket").where((F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)))
-    candidates = materialise(near.select("cls_a", "cls_b").distinct())
-
-    wanted = candidates.select(F.col("cls_a").alias("cls")).union(candidates.select(F.col("cls_b").alias("cls"))).distinct()
-    speakers = members.join(wanted, "cls").groupBy("cls").agg(F.min("key").alias("key"))
-    texts = materialise(_texts_of(src.join(speakers, "key").select("cls", "text")))
+    common = survey.where("kmer IS NOT NULL").groupBy("kmer").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+    kmers = common["kmer"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(kmers)
+    hot = spark.sparkContext.broadcast((kmers[order], common["n"].to_numpy(np.int64)[order]))
+
+    rows = _bands(src.select("text"), k, sample, bands, max(min_words, k)).repartition("bucket").dropDuplicates(["bucket", "cls"])
+    rows = materialise(_shared(rows, "bucket"))
+    small = rows.where(F.col("size") <= MOST_IN_BUCKET).drop("size")
+    differ = sum(F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(2))
+    alike = (F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)) & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    sampled = materialise(_side(small, "bucket", "a").join(_side(small, "bucket", "b"), "bucket").where(alike).select("cls_a", "cls_b").distinct())
+    crowded = rows.where(F.col("size") > MOST_IN_BUCKET).select("cls").distinct()
+
+    ends = sampled.select(F.explode(F.array("cls_a", "cls_b")).alias("cls"), F.lit(False).alias("crowded"))
+    wanted = ends.unionByName(crowded.withColumn("crowded", F.lit(True))).groupBy("cls").agg(F.max("crowded").alias("crowded"))
+    speakers = members.join(wanted, "cls").groupBy("cls", "crowded").agg(F.min("key").alias("key"))
+    texts = materialise(_texts_of(src.join(speakers, "key").select("cls", "text", "crowded")))
+
+    first = materialise(_shared(_prefixes(texts.where("crowded").select("cls", "text"), hot, k, threshold).repartition("kmer"), "kmer").drop("size"))
+    # one of the k-mers that both prefixes hold is the first that the texts share: they share no more than what follows it
+    enough = 1 + F.least(F.col("n_a") - 1 - F.col("place_a"), F.col("n_b") - 1 - F.col("place_b")) >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
+    exact = _side(first, "kmer", "a").join(_side(first, "kmer", "b"), "kmer").where(alike & enough).select("cls_a", "cls_b")
+    candidates = materialise(sampled.unionByName(exact).distinct())
     sides = [texts.select(F.col("cls").alias(f"cls_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"]
     links = _verify(candidates.join(sides[0], "cls_a").join(sides[1], "cls_b").select("cls_a", "cls_b", "text_a", "text_b"), k, threshold)
     return members, links
 
 
 def _texts_of(df: DataFrame) -> DataFrame:
-    """(cls, text) once per class, where the text is of the class."""
+    """(cls, text, crowded) once per class, where the text is of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = {}
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cls, text, crowded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ws = words(text)
                 if _text_class(ws) == bytes(cls):
-                    good[bytes(cls)] = " ".join(ws)
-            yield pa.RecordBatch.from_arrays([pa.array(list(good), pa.binary()), pa.array(list(good.values()), pa.string())], ["cls", "text"])
+                    good[bytes(cls)] = " ".join(ws), crowded
+            text, crowded = zip(*good.values(), strict=True) if good else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(good), pa.binary()), pa.array(text, pa.string()), pa.array(crowded, pa.bool_())], ["cls", "text", "crowded"])
 
-    return df.mapInArrow(run, "cls binary, text string").dropDuplicates(["cls"])
+    return df.mapInArrow(run, "cls binary, text string, crowded boolean").dropDuplicates(["cls"])
 
 
 def _verify(df: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -293,14 +376,12 @@ def _verify(df: DataFrame, k: int, threshold: float) -> DataFrame:
             out: list[tuple] = []
             for ca, cb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = ta.split(" "), tb.split(" ")
-                # the band holds every alignment that the threshold allows; a moved block lies outside
-                band = max(8, int(max(len(a), len(b)) * (1 - threshold)) + abs(len(a) - len(b)))
-                edit = aligned_share(a, b, band)
                 x, y = ({tuple(t[i : i + k]) for i in range(len(t) - k + 1)} for t in (a, b))
                 both = len(x & y)
-                jaccard = both / (len(x) + len(y) - both) if x or y else 0.0
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9 and both:
-                    out.append((ca, cb, jaccard, edit))
+                if both and both >= threshold * (len(x) + len(y) - both) - 1e-9:
+                    # the band holds every alignment that the threshold allows; a moved block lies outside
+                    band = max(8, int(max(len(a), len(b)) * (1 - threshold)) + abs(len(a) - len(b)))
+                    out.append((ca, cb, both / (len(x) + len(y) - both), aligned_share(a, b, band)))
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], ["cls_a", "cls_b", "jaccard", "edit_similarity"])
 

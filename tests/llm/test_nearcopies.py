@@ -83,3 +83,36 @@ def test_alignment_is_banded():
     assert N.aligned_share(a, a[:30] + ["x"] + a[31:], 5) == pytest.approx(59 * 2 / 120)
     assert N.aligned_share(a, a[30:] + a[:30], 5) < 0.2 < N.aligned_share(a, a[30:] + a[:30], 60)
     assert N.aligned_share([], a, 5) == 0.0
+
+
+@pytest.mark.parametrize("most", [10, 200])
+def test_a_large_family_keeps_its_links(spark, monkeypatch, most):
+    monkeypatch.setattr(N, "MOST_IN_BUCKET", most, raising=False)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for v in range(60):
+        w = list(base)
+        for i in rnd.sample(range(100), 2):
+            w[i] = f"own{v}at{i}"
+        rows.append((f"m{v:02d}", " ".join(w)))
+    rows += [(f"o{v:02d}", " ".join([*base[:35], *(f"other{v}at{i}" for i in range(65))])) for v in range(60)]
+    members, links = N.near_pairs(spark.createDataFrame(rows, "id string, t string"), "id", "t", k=3, threshold=0.7)
+    got = {tuple(r) for r in N.expand(members, links).collect()}
+    assert got == brute(rows, 3, 0.7, 15) and len(got) == 60 * 59 // 2
+
+
+def test_prefixes_of_a_pair_meet_whatever_the_counts():
+    rnd, h = random.Random(4), N.Hasher()
+    for _ in range(200):
+        a = [f"w{rnd.randrange(30)}" for _ in range(40)]
+        b = [x if rnd.random() < 0.94 else "new" for x in a]
+        texts = N.Texts([h(a), h(b)], 3)
+        x, y = ({tuple(t[i : i + 3]) for i in range(38)} for t in (a, b))
+        hot = np.unique(texts.kmers)[::2]
+        text, kmer, _, n = N.prefixes(texts, hot, np.arange(len(hot)) + 20, 0.7)
+        meet = set(kmer[text == 0].tolist()) & set(kmer[text == 1].tolist())
+        assert meet or len(x & y) < 0.7 * len(x | y) - 1e-9
+        assert set(n.tolist()) <= {len(x), len(y)}
+        m = N.marks(texts)
+        assert sum(int(v).bit_count() for v in m[0] ^ m[1]) <= len(x ^ y)
