@@ -35,7 +35,7 @@ EVIDENCE = {
     "open_item": 4.0,  # a list item or footer that stops after a joining word or mark
     "dots_inside": 5.0,  # dots inside a paragraph, as put behind a cut
     "dots_line": -1.0,  # a short line of its own that trails off
-    "dots_phrase": -9.0,  # the same, word for word, in several texts
+    "dots_phrase": -9.0,  # the same, word for word, in several texts that no limit cut
     "number": -3.0,  # a number and a point: an end, or half of a decimal
     "heading": -2.0,
     "item": -9.0,
@@ -47,6 +47,8 @@ EVIDENCE = {
 #: Log odds of a cut where the length says nothing, and the bounds of what a length can say.
 PRIOR, MOST_BY_LENGTH = -3.0, 5.0
 SAME_PHRASE = 3
+"""A line is a phrase if so many different texts that are not at a limit end in it, and their share of
+such texts is no less than that of the other texts at a limit: cuts repeat too, the more rows there are."""
 #: Widths of the range below a limit in which cut texts end: exact; up to a character's bytes; whole words.
 WIDTHS = {"chars": (0, 24), "bytes": (3,)}
 
@@ -262,7 +264,13 @@ def judge(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame, D
     unit = chance.select("source", "unit").distinct()
     sized = found.join(unit, "source", "left").withColumn("length", F.when(F.col("unit") == "bytes", F.col("bytes")).otherwise(F.col("chars")))
     sized = sized.join(chance, ["source", "unit", "length"], "left")
-    phrases = found.where("kind = 'dots_line'").groupBy("last").agg(F.count("*").alias("n"), F.countDistinct("same").alias("texts")).where(F.col("texts") >= SAME_PHRASE).select("last", F.lit(True).alias("again"))
+    sized = sized.withColumn("near", F.coalesce(F.col("p_length") >= 0.5, F.lit(False)))
+    ends = sized.groupBy("same", "near").agg(F.first(F.when(F.col("kind") == "dots_line", F.col("last"))).alias("last"))
+    n_near, n_away = ends.agg(F.count(F.when(F.col("near"), 1)), F.count(F.when(~F.col("near"), 1))).head()
+    lines = ends.where("last IS NOT NULL").groupBy("last").agg(F.count(F.when(F.col("near"), 1)).alias("near"), F.count(F.when(~F.col("near"), 1)).alias("away"))
+    # a text at a limit is judged by the others: one less
+    shares = F.col("away") * F.lit(float(n_near)) >= (F.col("near") - 1) * F.lit(float(n_away))
+    phrases = lines.where((F.col("away") >= SAME_PHRASE) & shares).select("last", F.lit(True).alias("again"))
     kinds = sized.join(phrases, "last", "left").withColumn("kind", F.when(F.col("again"), "dots_phrase").otherwise(F.col("kind")))
     p = F.col("p_length")
     by_length = F.when(p.isNull(), PRIOR).otherwise(F.greatest(F.lit(PRIOR), F.least(F.lit(MOST_BY_LENGTH), F.log(p / (1 - p)))))

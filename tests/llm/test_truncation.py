@@ -75,3 +75,33 @@ def test_judge(spark):
     assert sizes["mail"][1] == 400 and sizes["notes"][1] == 300 and "free" not in sizes
     assert judged.count() == len(rows) - 3
     assert T.judge(df.limit(0), "doc_id", "text", "source")[0].count() == 0
+
+
+def test_a_repeated_line_at_the_limit_stays_a_cut(spark):
+    rnd = random.Random(8)
+    rows = []
+
+    def add(text):
+        rows.append((len(rows), text, "feed"))
+        return rows[-1][0]
+
+    def prose(n):
+        text = ""
+        while len(text) < n:
+            text += " ".join(rnd.choice(["amber", "bolt", "cedar", "delta"]) for _ in range(6)).capitalize() + ". "
+        return text
+
+    def ending_in(line, size):
+        """A text of *size* characters whose last line is *line*."""
+        rest = size - len(line) - 2
+        return prose(rest)[:rest] + ".\n" + line
+
+    for _ in range(600):
+        text = prose(max(20, int(rnd.lognormvariate(5.3, 0.6))))
+        add(text[:297] + "..." if len(text) > 300 else text)
+    cut = {add(ending_in("As of version 9.2...", 300)) for _ in range(12)}
+    done = {add(ending_in("Let me think about it...", rnd.randrange(60, 290))) for _ in range(40)} | {add(ending_in("Let me think about it...", 300))}
+    judged, limits = T.judge(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "doc_id", "text", "source")
+    assert {r.max_size for r in limits.collect()} == {300}
+    found = {r.key for r in judged.where("log_odds > 0").collect()}
+    assert cut <= found and not done & found
