@@ -319,7 +319,9 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     of the distinct k-mers of both occur in both.  Copies of a text are one class, so a text that is
     delivered a million times costs one.  Texts of fewer than *min_words* words, null and empty ones
     take no part; null keys neither; other columns are ignored; a key with several texts is in several
-    classes.  A pair at the threshold is missed with a chance of about (1 - threshold**sample)**bands.
+    classes.  A pair is missed with a chance of about (1 - q * j**sample)**bands, where j is the share of
+    occurrence-labelled k-mers in both, lower than that of distinct ones where texts differ in how often
+    a passage repeats, and q the share of samples in the same order, 1 unless blocks are moved.
     """
     spark = df.sparkSession
     src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
