@@ -1,11 +1,15 @@
 """Filling containers of fixed capacity with items of varying size.
 
 Only the histogram of sizes, at most one row per size up to the capacity,
-reaches the driver.  Patterns of few sizes that fill a container exactly are
-enumerated; non-negative least squares fits how often to repeat each; the
-repeats are rounded to what is there; what remains is packed by best fit,
-largest size first, on the histogram.  The plan is then carried out by the
-rank of each item among those of its size.
+reaches the driver.  There, sizes are counted in at most UNITS steps; patterns
+are multisets of steps that fill a container.  Non-negative least squares fits
+how often to repeat each pattern to the histogram: patterns enter one by one,
+each the one of steepest descent among all there are (found by dynamic
+programming), until none is left that would lessen the error.  The repeats are rounded,
+each pattern is filled with sizes of its steps that use up all room, and the
+fit is repeated on what remains until it hardly places more.  The residual is
+packed by best fit, largest size first.  The plan is then carried out by the rank
+of each item among those of its size.
 """
 
 from __future__ import annotations
@@ -21,48 +25,112 @@ from pyspark.sql import functions as F
 from ..common import materialise
 
 ITEMS_PER_SHARD = 50_000
+UNITS = 128
+"""Steps that a container is counted in: the cost of the fit depends on them, not on the capacity or the items."""
+DOUBLINGS = 4
+"""A pattern holds at most 2 ** DOUBLINGS items."""
+WORTH_REPEATING = 1000
+"""The fit is repeated while it places at least one in so many items; best fit takes what remains, all of it."""
+_NONE = -1e300
 
 
-def patterns(sizes: np.ndarray, capacity: int, most: int = 3) -> np.ndarray:
-    """All multisets of one to *most* (at most 3) of the *sizes* whose sum is the capacity: rows of three, 0 for none."""
-    there = np.zeros(capacity + 1, bool)
-    there[sizes[(sizes > 0) & (sizes <= capacity)]] = True
-    out = [np.array([[capacity, 0, 0]])] if there[capacity] else []
-    if most >= 2:
-        a = np.arange((capacity + 1) // 2, capacity)
-        b = capacity - a
-        ok = there[a] & there[b] & (b > 0)
-        out.append(np.stack([a[ok], b[ok], np.zeros(ok.sum(), int)], axis=1))
-    if most >= 3:
-        for a in np.flatnonzero(there)[::-1]:
-            rest = capacity - a
-            b = np.arange((rest + 1) // 2, min(a, rest - 1) + 1)
-            c = rest - b
-            ok = there[b] & there[c] & (c > 0)
-            if ok.any():
-                out.append(np.stack([np.full(ok.sum(), a), b[ok], c[ok]], axis=1))
-    return np.concatenate(out).astype(np.int64) if out else np.empty((0, 3), np.int64)
-
-
-def fit_repeats(rows: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """x >= 0 that minimises |A x - counts|, where column j of A counts the sizes in pattern j;
-    by multiplicative updates, which keep x non-negative and never increase the error."""
-    if not len(rows):
-        return np.empty(0)
-    b = counts.astype(float).copy()
-    b[0] = 0.0
-    used = (rows > 0).astype(float)
-    gather = lambda v: (v[rows] * used).sum(axis=1)
-    spread = lambda x: np.bincount(rows.ravel(), (x[:, None] * used).ravel(), len(b))
-    x = np.full(len(rows), b.sum() / (2.5 * len(rows)))
-    target = gather(b)
-    for _ in range(rounds):
-        x = x * target / np.maximum(gather(spread(x)), 1e-12)
-    return x
-
-
-def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Best-fit decreasing on a histogram: [([(size, multiplicity)...], number of containers)]."""
+def best_pattern(value: np.ndarray, there: np.ndarray, doublings: int = DOUBLINGS) -> tuple[float, list[int]]:
+    """(value, steps): of all multisets of at most 2 ** *doublings* of the steps *there* whose sum is len(value) - 1, the one of
+    the greatest total value; (0, []) for none."""
+    n = len(value)
+    best = np.full(n, _NONE)
+    best[0] = 0.0
+    best[there] = value[there]
+    rest = np.arange(n)[:, None] - np.arange(n)[None, :]
+    fits, rest = rest >= 0, np.maximum(rest, 0)
+    halves = []
+    for _ in range(doublings):
+        both = np.where(fits, best[None, :] + best[rest], _NONE)
+        halves.append(both.argmax(axis=1))
+        best = np.maximum(both[np.arange(n), halves[-1]], _NONE)
+    if best[-1] <= _NONE / 2:
+        return 0.0, []
+    parts = [n - 1]
+    for half in reversed(halves):
+        parts = [y for x in parts for y in (int(half[x]), x - int(half[x]))]
+    return float(best[-1]), sorted((x for x in parts if x), reverse=True)
+
+
+def fit_repeats(counts: np.ndarray, tolerance: float = 1e-4) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """(patterns, x): x >= 0 minimises |A x - counts|, where a column of A counts the steps of a pattern and
+    the columns are all patterns there are, by the active-set method.
+
+    Stops at the optimum: no pattern's gradient is more than *tolerance* times the number of items.  No more
+    patterns than steps have x > 0.
+    """
+    there, total = np.flatnonzero(counts > 0), float(counts.sum())
+    b = counts.astype(float)
+    chosen: list[tuple[int, ...]] = []
+    matrix, x, left = np.zeros((len(b), 0)), np.zeros(0), b.copy()
+    while len(there):
+        gain, steps = best_pattern(left, there)
+        if not steps or gain <= tolerance * total or tuple(steps) in chosen:
+            break
+        chosen.append(tuple(steps))
+        matrix, x = np.column_stack([matrix, np.bincount(steps, minlength=len(b))]), np.append(x, 0.0)
+        while len(x):
+            free = np.linalg.lstsq(matrix, b, rcond=None)[0]
+            low = free <= 1e-12
+            if not low.any():
+                x = free
+                break
+            x = x + (x[low] / np.maximum(x[low] - free[low], 1e-300)).min() * (free - x)
+            keep = x > 1e-9 if (x <= 1e-9).any() else ~low
+            chosen, matrix, x = [c for c, k in zip(chosen, keep, strict=True) if k], matrix[:, keep], x[keep]
+        left = b - matrix @ x
+    return chosen, x
+
+
+Content = list[tuple[int, int]]
+
+
+def fill(steps: tuple[int, ...], n: int, left: np.ndarray, members: list[np.ndarray], width: float, capacity: int) -> list[tuple[Content, int]]:
+    """Up to *n* full containers of the pattern *steps*: [([(size, multiplicity)...], number)]; takes their items from *left*.
+
+    Each step is filled with the size that keeps the sum nearest to plan, the last two with sizes that
+    bring it to the capacity, if there are such.  A choice is repeated while its sizes last, so every
+    choice uses up a size or the pattern: their number is bounded by the sizes, not by the items.
+    """
+    out: list[tuple[Content, int]] = []
+    while n > 0:
+        used: dict[int, int] = {}
+        picked: list[int] = []
+        planned = 0.0
+
+        def there(step: int, used: dict[int, int] = used) -> np.ndarray:
+            return np.array([s for s in members[step] if left[s] > used.get(int(s), 0)], np.int64)
+
+        for step in steps[:-2]:
+            own = there(step)
+            if not len(own):
+                return out
+            planned += step * width
+            picked.append(int(own[np.abs(own - (planned - sum(picked))).argmin()]))
+            used[picked[-1]] = used.get(picked[-1], 0) + 1
+        room = capacity - sum(picked)
+        a, b = there(steps[-2]) if len(steps) > 1 else np.zeros(1, np.int64), there(steps[-1])
+        if not len(a) or not len(b):
+            return out
+        alone = np.array([s > 0 and left[s] - used.get(int(s), 0) < 2 for s in a])
+        full = (a[:, None] + b[None, :] == room) & ~((a[:, None] == b[None, :]) & alone[:, None])
+        if not full.any():
+            return out
+        i, j = divmod(int(full.argmax()), len(b))
+        sizes, mult = np.unique([x for x in (*picked, int(a[i]), int(b[j])) if x], return_counts=True)
+        times = min(n, int((left[sizes] // mult).min()))
+        left[sizes] -= times * mult
+        out.append((list(zip(sizes.tolist(), mult.tolist(), strict=True)), times))
+        n -= times
+    return out
+
+
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Content, int]]:
+    """Best-fit decreasing on a histogram: contents and numbers of containers."""
     open_: dict[int, list[tuple[tuple, int]]] = {}
     done: list[tuple[tuple, int]] = []
 
@@ -96,7 +164,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, in
         put(((), size, rest), capacity - rest * size, 1 if rest else 0)
     done += [x for v in open_.values() for x in v]
 
-    def unroll(content: tuple) -> list[tuple[int, int]]:
+    def unroll(content: tuple) -> Content:
         out = []
         while content:
             content, size, n = content
@@ -106,23 +174,30 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, in
     return [(unroll(c), n) for c, n in done]
 
 
-def plan(counts: np.ndarray, capacity: int, most: int = 3) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns and numbers of containers that hold every item of the histogram *counts* (by size, 1 to capacity)."""
+def plan(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Content, int]], list[tuple[Content, int]]]:
+    """Containers that the patterns plan, and those of best fit: contents and numbers.  Together they hold every
+    item of the histogram *counts* (by size, 1 to capacity)."""
     left = counts.astype(np.int64).copy()
     left[0] = 0
-    rows = patterns(np.flatnonzero(left), capacity, most)
-    x = fit_repeats(rows, left)
-    out = []
-    for j in np.argsort(-x, kind="stable"):
-        if x[j] < 0.5:
+    total = int(left.sum())
+    units = min(capacity, UNITS)
+    width = capacity / units
+    # a size below half a step is step 0 and in no pattern
+    step = np.floor(np.arange(capacity + 1) / width + 0.5).astype(np.int64)
+    members = np.split(np.arange(capacity + 1), np.flatnonzero(np.diff(step)) + 1)
+    planned: list[tuple[Content, int]] = []
+    placed = total
+    while placed * WORTH_REPEATING >= total > 0:
+        steps = np.bincount(step, left, units + 1)
+        steps[0] = 0
+        patterns, x = fit_repeats(steps)
+        before = int(left.sum())
+        for j in np.argsort(-x, kind="stable"):
+            planned += fill(patterns[j], int(x[j] + 0.5), left, members, width, capacity)
+        placed = before - int(left.sum())
+        if not placed:
             break
-        sizes, mult = np.unique(rows[j][rows[j] > 0], return_counts=True)
-        n = min(int(round(x[j])), int((left[sizes] // mult).min()))
-        if n > 0:
-            left[sizes] -= n * mult
-            out.append((list(zip(sizes.tolist(), mult.tolist(), strict=True)), n))
-    return out + best_fit(left, capacity)
-
+    return planned, best_fit(left, capacity)
 
 def slots(planned: list[tuple[list[tuple[int, int]], int]]) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys, first containers, number of containers): the items of a size with ranks from key's rank on
@@ -141,11 +216,12 @@ def slots(planned: list[tuple[list[tuple[int, int]], int]]) -> tuple[np.ndarray,
 
 
 def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
-    """(key, piece, start, size, container): every item in a container, no container over its capacity.
+    """(key, piece, start, size, container, by_pattern): every item in a container, no container over its capacity.
 
     An item larger than the capacity is cut into pieces of the capacity and a rest (piece 0, 1...,
     *start* the place of its first unit); others stay whole.  Items of size 0 or null take no room and
     are spread over the containers (container 0 if there is none).  Containers are numbered from 0.
+    by_pattern tells whether a pattern of the fit, or else best fit, placed the item.
     Rows are items: keys may repeat or be null, and other columns are ignored.  No items, no rows.
     """
     spark = sizes.sparkSession
@@ -157,7 +233,10 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     counts = np.zeros(capacity + 1, np.int64)
     for row in items.groupBy("size").count().collect():  # at most capacity + 1 rows
         counts[row["size"]] = row["count"]
-    keys, firsts, n_containers = slots(plan(counts, capacity))
+    patterns, rest = plan(counts, capacity)
+    n_by_pattern = sum(n for _, n in patterns)
+    # some rows for each of at most capacity sizes, whatever the number of items
+    keys, firsts, n_containers = slots(patterns + rest)
     table = spark.sparkContext.broadcast((keys, firsts))
 
     n_shards = max(1, -(-int(counts.sum()) // ITEMS_PER_SHARD))
@@ -178,4 +257,4 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     schema = f"`{key}` {kind}, piece int, start bigint, size bigint, container bigint"
     filled = ranked.select("key", "piece", "start", "size", (F.col("rank") + F.col("before")).cast("bigint").alias("rank")).mapInArrow(run, schema)
     empty = items.where("size = 0").select(F.col("key").alias(key), "piece", "start", "size", F.pmod(F.xxhash64("key"), F.lit(max(1, n_containers))).cast("bigint").alias("container"))
-    return filled.unionByName(empty)
+    return filled.withColumn("by_pattern", F.col("container") < n_by_pattern).unionByName(empty.withColumn("by_pattern", F.lit(False)))
