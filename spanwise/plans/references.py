@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import table
@@ -12,47 +12,41 @@ LABEL = r"^[\s\[\]]+|[\s\[\]]+$"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference and every arrival and deletion of a parent, with the time it came in."""
     c = F.col
-    cites, spans = table(spark, d, "citations"), table(spark, d, "evidence_spans")
+    cites, spans, traces = table(spark, d, "citations"), table(spark, d, "evidence_spans"), table(spark, d, "traces")
+    # one key of a run, a case and a label; lengths keep them apart, and a null run or case has none
+    whole = lambda label: F.concat(F.length("run_id"), F.lit(":"), c("run_id"), F.length("case_id"), F.lit(":"), c("case_id"), label)
+    label = F.upper(F.regexp_replace("label", LABEL, ""))
+    asked = F.when(c("label").isNotNull(), F.coalesce(whole(label), F.concat(F.lit("?"), label)))
+    shown = traces.select("run_id", "case_id", "ingested_at", F.explode(F.map_keys("context_labels")).alias("label"))
     return (
-        R.reference_events(cites, "citations.chunk_id", c("citation_row_id"), c("chunk_id"), c("cited_at"))
+        R.reference_events(cites, "citations.chunk_id", c("citation_row_id"), c("chunk_id"), c("cited_at"), arrived=c("logged_at"))
         .unionByName(R.reference_events(spans, "evidence_spans.doc_id", c("span_row_id"), c("doc_id"), c("authored_at")))
+        .unionByName(R.reference_events(cites, "citations.label", c("citation_row_id"), asked, F.lit(R.AT_LAST), c("cited_at"), c("logged_at")))
         .unionByName(R.parent_events(table(spark, d, "chunks"), "citations.chunk_id", c("chunk_id"), c("indexed_at"), c("deleted_at")))
         .unionByName(R.parent_events(table(spark, d, "corpus_docs"), "evidence_spans.doc_id", c("doc_id"), c("indexed_at"), c("retired_at")))
+        .unionByName(R.parent_events(shown, "citations.label", whole(c("label")), F.lit(R.ALWAYS), F.lit(None), c("ingested_at")))
     )
 
 
-def _labels(spark: SparkSession, d: str) -> DataFrame:
-    """(run_id, case_id, label, ref_id, t), once per citation."""
-    label = F.upper(F.regexp_replace("label", LABEL, "")).alias("label")
-    return table(spark, d, "citations").select(F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("case_id", F.lit("")).alias("case_id"), label, F.col("citation_row_id").alias("ref_id"), F.col("cited_at").alias("t")).where("label IS NOT NULL").distinct()
-
-
-def _label_orphans(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "traces").select("run_id", "case_id", F.explode(F.map_keys("context_labels")).alias("label"))
-    return R.timeless_orphans(_labels(spark, d), keys, ["run_id", "case_id", "label"])
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    timed = R.orphan_references(_events(spark, d)).where("orphan").select(F.col("field").alias("ref_field"), F.col("ref_id").alias("record_id"))
-    labels = _label_orphans(spark, d).select(F.lit("citations.label").alias("ref_field"), F.col("ref_id").alias("record_id"))
-    return timed.unionByName(labels).distinct()
+    """The references that wait, after everything has come in, in the order of arrival."""
+    refs = R.follow(_events(spark, d)).refs
+    return refs.where("orphan").select(F.col("field").alias("ref_field"), F.col("ref_id").alias("record_id")).distinct()
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per table field and month: references, orphans when made, and references pending at the month's end."""
-    events = _events(spark, d)
-    month = F.date_trunc("month", "t").cast("timestamp_ntz").alias("month")
-    made = R.orphan_references(events).groupBy(F.col("field").alias("ref_field"), month).agg(F.count("*").alias("n_references"), F.count(F.when(F.col("orphan"), 1)).alias("n_orphans"))
-    pending = R.pending_by_period(events).select(F.col("field").alias("ref_field"), F.col("period").alias("month"), "n_pending")
-    timed = made.join(pending, ["ref_field", "month"], "left")
-    all_labels = _labels(spark, d).groupBy(month).agg(F.count("*").alias("n_references"))
-    bad_labels = _label_orphans(spark, d).groupBy(month).agg(F.count("*").alias("n_orphans"))
-    from pyspark.sql import Window as W
-
-    labels = all_labels.join(bad_labels, all_labels["month"].eqNullSafe(bad_labels["month"]), "left").select(F.lit("citations.label").alias("ref_field"), all_labels["month"], "n_references", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
-    labels = labels.withColumn("n_pending", F.sum("n_orphans").over(W.partitionBy("ref_field").orderBy(F.col("month").asc_nulls_last())))
-    return timed.unionByName(labels).select("ref_field", "month", "n_references", "n_orphans", "n_pending")
+    state = R.follow(_events(spark, d))
+    month = F.date_trunc("month", "made_at").cast("timestamp_ntz").alias("month")
+    made = state.refs.groupBy(F.col("field").alias("ref_field"), month).agg(F.count("*").alias("n_references"), F.count(F.when(F.col("orphan"), 1)).alias("n_orphans"))
+    timed = R.state_events(state).where("field <> 'citations.label'")
+    pending = R.pending_by_period(timed).select(F.col("field").alias("ref_field"), F.col("period").alias("month"), "n_pending")
+    # labels do not depend on time: what was an orphan stays one
+    so_far = F.sum("n_orphans").over(Window.partitionBy("ref_field").orderBy(F.col("month").asc_nulls_last()))
+    n_pending = F.when(F.col("ref_field") == "citations.label", so_far).otherwise(F.coalesce("n_pending", F.lit(0)))
+    return made.join(pending, ["ref_field", "month"], "left").select("ref_field", "month", "n_references", "n_orphans", n_pending.alias("n_pending"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts}

@@ -1,15 +1,9 @@
-"""Streams of trace records and of references."""
+"""Streams of trace records."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.references import CHANGE
 
 
 def once(traces: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -26,43 +20,3 @@ def health(traces: DataFrame, width: str = "1 hour", late: str = "1 hour") -> Da
     failed = F.coalesce(F.size("errors"), F.lit(0)) > 0
     out = timed.groupBy(F.window("at", width).alias("w"), "pipeline_name").agg(F.count("*").alias("n"), F.count(F.when(failed, 1)).alias("n_errors"), F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "pipeline_name", "n", "n_errors", "mean_latency_ms")
-
-
-OUTPUT = "field string, key string, ref_id bigint, t timestamp, status string"
-STATE = "there bigint, waiting array<bigint>, met array<bigint>"
-
-
-def follow_references(events: DataFrame) -> DataFrame:
-    """The life of references on a stream of events (see ``operators.references``), in the order of arrival.
-
-    Per key: how many of its rows are there, the references that wait, those that were met.  A reference
-    gives ``orphan`` or ``met``; the arrival of its parent gives ``resolved`` for each that waits; the last
-    deletion gives ``reopened`` for each that was met.  State is one row per key and never expires, as the
-    parents never do; events of one batch are taken in the order of t and kind.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        there, waiting, met = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
-        pdf = pd.concat(list(batches)).sort_values(["t", "kind"], kind="stable")
-        out = []
-        for kind, delta, ref, t in zip(pdf["kind"], pdf["delta"], pdf["ref_id"], pdf["t"], strict=True):
-            before = there
-            if kind == CHANGE:
-                there += int(delta)
-                if before <= 0 < there:
-                    out += [(*key, r, t, "resolved") for r in waiting]
-                    met, waiting = met + waiting, []
-                elif there <= 0 < before:
-                    out += [(*key, r, t, "reopened") for r in met]
-                    waiting, met = waiting + met, []
-            elif there > 0:
-                met.append(int(ref))
-                out.append((*key, int(ref), t, "met"))
-            else:
-                waiting.append(int(ref))
-                out.append((*key, int(ref), t, "orphan"))
-        state.update((there, waiting, met))
-        yield pd.DataFrame(out, columns=["field", "key", "ref_id", "t", "status"])
-
-    timed = events.withColumn("t", F.col("t").cast("timestamp"))
-    return timed.groupBy("field", "key").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -36,9 +36,8 @@ def random_case(seed, hot=False):
 def test_orphans_match_brute_force(spark):
     for seed in range(3):
         refs, parents = random_case(seed, hot=seed == 2)
-        for period in ("day", "month"):
-            got = {r.ref_id: r.orphan for r in R.orphan_references(make(spark, refs, parents), period).collect()}
-            assert got == {i: not there(k, t, parents) for i, k, t in refs if k is not None}
+        got = {r.ref_id: r.orphan for r in R.orphan_references(make(spark, refs, parents)).collect()}
+        assert got == {i: not there(k, t, parents) for i, k, t in refs if k is not None}
 
 
 def test_start_is_included_and_stop_is_not(spark):
@@ -59,18 +58,56 @@ def test_pending_at_the_end_of_periods(spark):
         assert n == sum(day(t) >= period for _, _, t in mine)
 
 
-def test_a_snapshot_replaces_the_history(spark):
+def test_any_batches_in_any_order_give_the_same_state(spark):
+    refs, parents = random_case(11, hot=True)
+    whole = {i: not there(k, t, parents) for i, k, t in refs if k is not None}
+    seen = set()
+    for seed in range(2):
+        events = make(spark, refs, parents).withColumn("batch", F.pmod(F.xxhash64("t", "ref_id", "key", "kind", F.lit(seed)), F.lit(4))).cache()
+        if seed:  # deletions last
+            events = events.withColumn("batch", F.when(F.col("delta") < 0, 3).otherwise(F.col("batch"))).cache()
+        state, life = None, {}
+        for n in range(4):
+            state, changed = R.advance(state, events.where(F.col("batch") == n))
+            for r in changed.collect():
+                life.setdefault(r.ref_id, []).append(r.status)
+        assert {r.ref_id: r.orphan for r in state.refs.collect()} == whole
+        assert {i: x[-1] in ("orphan", "reopened") for i, x in life.items()} == whole
+        assert all(x[0] in ("orphan", "met") and all(a != b for a, b in zip(x, x[1:], strict=False)) for x in life.values())
+        seen |= {s for x in life.values() for s in x}
+        snapshot = state.snapshot.collect()[0]
+        assert (snapshot.n_references, snapshot.n_waiting) == (len(whole), sum(whole.values()))
+    assert seen == {"orphan", "met", "resolved", "reopened"}
+    assert {r.ref_id: r.orphan for r in R.follow(make(spark, refs, parents)).refs.collect()} == whole
+
+
+def test_a_reference_that_comes_again_counts_once(spark):
+    refs, parents = random_case(5)
+    events = make(spark, refs, parents)
+    state, _ = R.advance(None, events)
+    again, changed = R.advance(state, events.where(F.col("kind") == R.REFERENCE))
+    assert changed.count() == 0
+    assert sorted(map(str, again.refs.collect())) == sorted(map(str, state.refs.collect()))
+
+
+def test_what_is_forgotten_is_not_needed(spark):
     refs, parents = random_case(11)
     refs = [r for r in refs if r[2] is not None]
-    events = make(spark, refs, parents).cache()
+    events = make(spark, refs, parents)
     cut = day(30)
-    before, after = events.where(F.col("t") < F.lit(cut)), events.where(F.col("t") >= F.lit(cut))
-    state = R.advance(None, before)
-    whole = {r.ref_id: r.orphan for r in R.orphan_references(events).collect()}
-    parts = {r.ref_id: r.orphan for r in R.orphan_references(before).collect()} | {r.ref_id: r.orphan for r in R.orphan_references(after, before=state).collect()}
-    assert parts == whole
-    both = {tuple(r) for r in R.advance(state, after).collect()}
-    assert both == {tuple(r) for r in R.advance(None, events).collect()}
+    first, _ = R.advance(None, events.where(F.col("t") < F.lit(cut)))
+    small = R.forget(first, str(cut))
+    assert small.refs.count() == 0 and small.changes.groupBy("key").count().where("count > 1").count() == 0
+    last, _ = R.advance(small, events.where(F.col("t") >= F.lit(cut)))
+    got = {r.ref_id: r.orphan for r in first.refs.collect()} | {r.ref_id: r.orphan for r in last.refs.collect()}
+    assert got == {i: not there(k, t, parents) for i, k, t in refs if k is not None}
+
+
+def test_a_hot_key_is_cut_into_slices(spark):
+    refs = [(i, "hot", i % 977) for i in range(3000)]
+    parents = [("hot", 3 * i, 3 * i + 1 + i % 3) for i in range(300)]
+    got = {r.ref_id: r.orphan for r in R.orphan_references(make(spark, refs, parents)).collect()}
+    assert got == {i: not there(k, t, parents) for i, k, t in refs}
 
 
 def test_empty_tables(spark):
