@@ -4,10 +4,11 @@ A text is the sequence of its words; its k-mers are labelled with their
 occurrence number.  Each of *bands* samples takes the *sample* smallest
 labelled k-mers under its own hash and keeps them in text order, so that texts
 agree in a sample when they share those k-mers in the same order.  Candidates
-agree in a sample.  Common phrases fill some buckets with many texts: those are
+agree in a sample.  A third of the samples leave repeated k-mers out, for texts that
+differ in how often a passage comes.  Common phrases fill some buckets with many texts: those are
 not paired there, but by an exact prefix filter over the k-mers of the texts in
-such buckets, the rarest first.  A banded alignment gives the edit similarity of
-candidates, and the exact share of common k-mers decides.
+such buckets, the rarest first.  The exact share of common k-mers decides, as it
+defines the pairs; a banded alignment gives their edit similarity.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..common import materialise
 from .words import words
 
 HOT_SHARE = 1000
-"""A k-mer is common from one text in so many.  There are at most HOT_SHARE times the mean number of
-k-mers of a text, however many texts there are: the list that is broadcast is bounded."""
+"""A k-mer is common, and then counted, from one text in so many of the crowded buckets.  There are at most HOT_SHARE times the
+mean number of k-mers of a text, however many texts there are: the list that is broadcast is bounded.  It
+orders k-mers, no more: the rarer come first, whatever counts as common."""
 HOT_LEAST = 20
 MOST_IN_BUCKET = 200
 """Texts of a larger bucket are paired by the prefix filter, which loses no pair."""
@@ -113,22 +114,25 @@ def seeds(bands: int) -> np.ndarray:
     return _mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(texts: Texts, hot: np.ndarray, sample: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """(one value per text and band, number of different k-mers of each text); *hot* is sorted.
+def sketches(texts: Texts, sample: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one value per text and band, number of different k-mers of each text).
 
-    A hash keeps 39 bits, below a bit that is set for k-mers in *hot* and above the position in the text.
-    Pairs that share little but k-mers in *hot* hardly ever agree: to find all pairs, *hot* has to be empty.
+    A hash keeps 40 bits above the position in the text.  The last third of the bands is over the
+    first occurrences of k-mers only; where none repeats, it is like the others.
     """
     x, distinct = texts.labelled()
-    common = is_among(texts.kmers, hot).astype(np.uint64)
     position = np.arange(len(x), dtype=np.uint64) - np.repeat(texts.starts, texts.sizes).astype(np.uint64)
-    low = (common << np.uint64(63)) | np.minimum(position, np.uint64(2**POSITION_BITS - 1))
-    keep = np.uint64((2**39 - 1) << POSITION_BITS)
-    mask = np.uint64(2**POSITION_BITS - 1)
+    # the same bits for all texts, but for longer ones than there are
+    bits = max(POSITION_BITS, int(texts.sizes.max(initial=0)).bit_length())
+    mask = np.uint64(2**bits - 1)
+    keep = ~mask
+    again = x != texts.kmers
     out = np.empty((len(texts.sizes), bands), np.uint64)
     none = np.uint64(2**64 - 1)
     for band, seed in enumerate(seeds(bands)):
-        g = (_mix(x ^ seed) & keep) | low
+        g = (_mix(x ^ seed) & keep) | position
+        if band >= bands - bands // 3:
+            g[again] = none
         picked = np.full((sample, len(texts.sizes)), np.iinfo(np.int64).max, np.int64)
         for j in range(sample):
             least = np.minimum.reduceat(g, texts.starts)
@@ -219,21 +223,14 @@ def _parts(hashes: list[np.ndarray], most: int = 300_000) -> Iterator[list[np.nd
         yield part
 
 
-def _often(part: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    u, c = np.unique(Texts(part, k).kmers, return_counts=True)
-    often = c >= max(2, len(part) // HOT_SHARE)
-    return u[often].view(np.int64), c[often]
-
-
-def _survey(df: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(key, cls, n): class of equal word sequences of each row that takes part; and (kmer, n): how often a
-    k-mer is in the different texts of a part of a batch, if at least once in HOT_SHARE texts.  A k-mer
-    that is common in all is common in some part, so none is lost."""
+def _survey(df: DataFrame, k: int, sample: int, bands: int, min_words: int) -> DataFrame:
+    """(key, cls) of each row that takes part, where cls is the class of equal word sequences; and, with a null key, (cls, n, m0, m1,
+    buckets) of each class of a batch: its number of distinct k-mers, its marks, and one bucket per sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            keys, classes, sizes, seen, hashes = [], [], [], set(), []
+            keys, classes, new = [], [], {}
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 if len(ws) < min_words:
@@ -241,47 +238,37 @@ def _survey(df: DataFrame, k: int, min_words: int) -> DataFrame:
                 cls = _text_class(ws)
                 keys.append(key)
                 classes.append(cls)
-                sizes.append(len(ws))
-                if cls not in seen:
-                    seen.add(cls)
-                    hashes.append(hasher(ws))
-            often = [_often(part, k) for part in _parts(hashes, 1_500_000)] or [(np.empty(0, np.int64),) * 2]
-            u, c = (np.concatenate(x) for x in zip(*often, strict=True))
+                if cls not in new:
+                    new[cls] = hasher(ws)
             none = pa.nulls
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(keys, pa.string()), none(len(u), pa.string())]),
-                    pa.concat_arrays([pa.array(classes, pa.binary()), none(len(u), pa.binary())]),
-                    pa.concat_arrays([none(len(keys), pa.int64()), pa.array(u, pa.int64())]),
-                    pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(c, pa.int64())]),
-                ],
-                ["key", "cls", "kmer", "n"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(classes, pa.binary()), none(len(keys), pa.int32()), none(len(keys), pa.int64()), none(len(keys), pa.int64()), none(len(keys), pa.list_(pa.int64()))], NAMES)
+            at, names = 0, list(new)
+            for part in _parts(list(new.values())):
+                own = Texts(part, k)
+                values, n = sketches(own, sample, bands)
+                m = marks(own).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([none(len(part), pa.string()), pa.array(names[at : at + len(part)], pa.binary()), pa.array(n, pa.int32()), pa.array(m[:, 0]), pa.array(m[:, 1]), lists], NAMES)
+                at += len(part)
+
+    return df.mapInArrow(run, "key string, cls binary, n int, m0 bigint, m1 bigint, buckets array<bigint>")
+
 
-    return df.mapInArrow(run, "key string, cls binary, kmer bigint, n bigint")
+NAMES = ["key", "cls", "n", "m0", "m1", "buckets"]
 
 
-def _bands(df: DataFrame, k: int, sample: int, bands: int, min_words: int) -> DataFrame:
-    """(cls, n, m0, m1, bucket): for each text, its number of distinct k-mers, its marks, and one row per sample."""
+def _common(texts: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): how often a k-mer is in texts(cls, text), counted in the batches where it is in one of HOT_SHARE texts and in two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            done: dict[bytes, np.ndarray] = {}
-            for text in batch.column(0).to_pylist():
-                ws = words(text)
-                if len(ws) >= min_words and (cls := _text_class(ws)) not in done:
-                    done[cls] = hasher(ws)
-            at, names = 0, list(done)
-            for part in _parts(list(done.values())):
-                own = Texts(part, k)
-                values, n = sketches(own, np.empty(0, np.uint64), sample, bands)
-                m = marks(own).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + len(part)], pa.binary()), pa.array(n, pa.int32()), pa.array(m[:, 0]), pa.array(m[:, 1]), lists], ["cls", "n", "m0", "m1", "buckets"])
-                at += len(part)
+            for part in _parts([hasher(t.split(" ")) for t in batch.column(1).to_pylist()], 1_500_000):
+                u, c = np.unique(Texts(part, k).kmers, return_counts=True)
+                often = c >= max(2, len(part) // HOT_SHARE)
+                yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(c[often], pa.int64())], ["kmer", "n"])
 
-    return df.mapInArrow(run, "cls binary, n int, m0 bigint, m1 bigint, buckets array<bigint>").select("cls", "n", "m0", "m1", F.explode("buckets").alias("bucket"))
+    return texts.select("cls", "text").mapInArrow(run, "kmer bigint, n bigint").groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def _prefixes(df: DataFrame, hot, k: int, threshold: float) -> DataFrame:
@@ -303,8 +290,10 @@ def _prefixes(df: DataFrame, hot, k: int, threshold: float) -> DataFrame:
 
 
 def _shared(df: DataFrame, by: str) -> DataFrame:
-    """*df* with the number of rows of the same *by*, where it is more than one: most hold one class and need no join."""
-    return df.withColumn("size", F.count("*").over(W.partitionBy(by))).where("size > 1")
+    """*df* with the number of rows of the same *by*, where it is more than one: most hold one class and need no join.
+    Counted before the shuffle and joined, so that the rows of a hot value are spread over tasks."""
+    counts = df.groupBy(by).agg(F.count("*").alias("size")).where("size > 1")
+    return df.join(counts, by)
 
 
 def _side(df: DataFrame, by: str, s: str) -> DataFrame:
@@ -323,17 +312,12 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     occurrence-labelled k-mers in both, lower than that of distinct ones where texts differ in how often
     a passage repeats, and q the share of samples in the same order, 1 unless blocks are moved.
     """
-    spark = df.sparkSession
+    spark, least = df.sparkSession, max(min_words, k)
     src = df.select(df[key].cast("string").alias("key"), df[text].cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    survey = materialise(_survey(src, k, max(min_words, k)))
-    members = survey.where("cls IS NOT NULL").select("key", "cls").distinct()
-    least = max(HOT_LEAST, survey.where("cls IS NOT NULL").count() // HOT_SHARE)
-    common = survey.where("kmer IS NOT NULL").groupBy("kmer").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    kmers = common["kmer"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(kmers)
-    hot = spark.sparkContext.broadcast((kmers[order], common["n"].to_numpy(np.int64)[order]))
-
-    rows = _bands(src.select("text"), k, sample, bands, max(min_words, k)).repartition("bucket").dropDuplicates(["bucket", "cls"])
+    survey = materialise(_survey(src, k, sample, bands, least))
+    members = survey.where("key IS NOT NULL").select("key", "cls").distinct()
+    each = survey.where("key IS NULL").select("cls", "n", "m0", "m1", "buckets").dropDuplicates(["cls"])
+    rows = each.select("cls", "n", "m0", "m1", F.explode(F.array_distinct("buckets")).alias("bucket"))
     rows = materialise(_shared(rows, "bucket"))
     small = rows.where(F.col("size") <= MOST_IN_BUCKET).drop("size")
     differ = sum(F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(2))
@@ -346,7 +330,13 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     speakers = members.join(wanted, "cls").groupBy("cls", "crowded").agg(F.min("key").alias("key"))
     texts = materialise(_texts_of(src.join(speakers, "key").select("cls", "text", "crowded")))
 
-    first = materialise(_shared(_prefixes(texts.where("crowded").select("cls", "text"), hot, k, threshold).repartition("kmer"), "kmer").drop("size"))
+    dense = texts.where("crowded").select("cls", "text")
+    often = max(HOT_LEAST, dense.count() // HOT_SHARE)
+    common = _common(dense, k).where(F.col("n") >= often).toPandas()
+    kmers = common["kmer"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(kmers)
+    hot = spark.sparkContext.broadcast((kmers[order], common["n"].to_numpy(np.int64)[order]))
+    first = materialise(_shared(materialise(_prefixes(dense, hot, k, threshold)), "kmer").drop("size"))
     # one of the k-mers that both prefixes hold is the first that the texts share: they share no more than what follows it
     enough = 1 + F.least(F.col("n_a") - 1 - F.col("place_a"), F.col("n_b") - 1 - F.col("place_b")) >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
     exact = _side(first, "kmer", "a").join(_side(first, "kmer", "b"), "kmer").where(alike & enough).select("cls_a", "cls_b")

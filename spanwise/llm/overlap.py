@@ -6,34 +6,39 @@ between an opening and a closing mark; its passages are the pairs of neighbours
 in this order.  With e words only in the evaluation text (of n) and t only in
 the training text, at most 2e + t of its n + 1 passages are broken, and the
 threshold bounds e and t.  So at least ``least_passages(n)`` passages of an
-evaluation text occur in the training text, and HITS of them are among its
-n + 1 - least_passages(n) + HITS rarest.  Those, in shards, make Aho-Corasick automata
-that scan all training texts; the matched intervals of a candidate are merged
-into the coverage of the evaluation text, which must reach the bound, before
-the words are compared.  Nothing is missed.
+evaluation text occur in the training text, and HITS of them are among any
+n + 1 - least_passages(n) + HITS of them: the rarest are taken.
+
+The passages of the evaluation texts, in shards, make Aho-Corasick automata that
+scan all training texts where they lie.  A training text that matches enough of the
+rare passages of an evaluation text is a candidate; its matched intervals are
+merged into the coverage of the evaluation text, which must hold enough
+passages, before the words are compared.  Nothing is missed.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from typing import NamedTuple
 
 import ahocorasick
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import materialise
+from ..common import materialise, parallelism
 from .words import words
 
-PASSAGES_PER_SHARD = 300_000
-"""Passages of one automaton, repeats included: at most some 250 MB."""
-TEXTS_PER_BLOCK = 25_000
-"""Training texts that one task holds and scans with one automaton."""
+PASSAGES_PER_SHARD = 200_000
+"""Passages of the evaluation texts of one shard: what goes through the driver at once (some 20 MB), and into an automaton (some 150 MB)."""
+WORD_SLOTS = 2**18
+"""Words are counted by slots, so that the counts that are broadcast (2 MB) do not grow with the data.  They choose passages, no more."""
 HITS = 2
 """Rare passages that must be met before a pair is looked at; ``least_passages`` is never less."""
 OPEN, CLOSE = "\x02", "\x03"
@@ -64,119 +69,192 @@ def passages(norm: str) -> list[str]:
     return [f" {a} {b} " for a, b in zip(ws, ws[1:], strict=False)]
 
 
-def coverage(own: list[str], other: set[str]) -> tuple[int, float]:
-    """Passages of *own* found in *other*, and the share of own's words inside the merged matched intervals."""
-    n = len(own) - 1
-    found, covered, end = 0, 0, -1
-    for i, p in enumerate(own):
-        if p in other:
-            found += 1
-            # passage i covers word i - 1 and word i (the marks are no words)
-            first, last = max(i - 1, 0, end + 1), min(i, n - 1)
-            covered += max(0, last - first + 1)
-            end = max(end, last)
-    return found, covered / n if n else 0.0
+def coverage(found: list[int], n: int) -> float:
+    """Share of the n words of a text inside the merged intervals of the passages at the places *found*, in order.
+    Passage i covers word i - 1 and word i (the marks are no words)."""
+    covered, end = 0, -1
+    for i in found:
+        first, last = max(i - 1, 0, end + 1), min(i, n - 1)
+        covered += max(0, last - first + 1)
+        end = max(end, last)
+    return covered / n if n else 0.0
 
 
 def text_classes(df: DataFrame) -> DataFrame:
-    """(owner, side, field, cls, norm, n) from (owner, side, field, text): texts without a word are left out."""
+    """(owner, field, cls, norm, n) from (owner, field, text), without a shuffle: texts without a word are left out, and
+    repeats near each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple, tuple[str, int]] = {}
+            known: dict[tuple, tuple[bytes, str, int]] = {}
+            for owner, field, text in zip(*(batch.column(c).to_pylist() for c in ("owner", "field", "text")), strict=True):
+                if (field, text) not in known:
+                    norm = normal_form(text)
+                    known[field, text] = xxhash.xxh3_128_digest(f"{field}\x00{norm}"), norm, len(norm.split(" ")) if norm else 0
+                cls, norm, n = known[field, text]
+                if n:
+                    rows[owner, field, cls] = norm, n
+            keys = list(zip(*rows, strict=True)) or [(), (), ()]
+            values = list(zip(*rows.values(), strict=True)) or [(), ()]
+            cols = zip((*keys, *values), (pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["owner", "field", "cls", "norm", "n"])
+
+    return df.select("owner", "field", "text").mapInArrow(run, "owner string, field string, cls binary, norm string, n int")
+
+
+def slot(word: str) -> int:
+    return zlib.crc32(word.encode()) % WORD_SLOTS
+
+
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How many of texts(norm) have a word of each slot; combined before the shuffle, at most WORD_SLOTS rows."""
+    word = F.explode(F.split("norm", " ")).alias("w")
+    rows = texts.select(word).groupBy((F.crc32(F.col("w").cast("binary")) % WORD_SLOTS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(WORD_SLOTS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def picks(norm: str, counts: np.ndarray, threshold: Fraction, slots: dict[str, int]) -> list[int]:
+    """Places of the passages to look for: the rarest, those left out that no training text has; [] where too few are left for a match."""
+    ws = norm.split(" ")
+    n = len(ws)
+    often = []
+    for w in ws:
+        if w not in slots:
+            slots[w] = slot(w)
+        often.append(int(counts[slots[w]]))
+    # a passage is no more frequent than either word
+    most = [often[0], *map(min, often, often[1:]), often[-1]]
+    chosen = sorted(range(n + 1), key=lambda i: (most[i], i))[: rarest(n, threshold)]
+    chosen = [i for i in chosen if most[i]]
+    return chosen if len(chosen) >= min(HITS, least_passages(n, threshold)) else []
+
+
+def _queries(texts: DataFrame, counts, threshold: Fraction) -> DataFrame:
+    """(field, cls, norm, n, picks) of the evaluation texts that can match at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, int] = {}
+        for batch in batches:
+            if len(slots) > 500_000:
+                slots.clear()
+            got = [picks(x, counts.value, threshold, slots) for x in batch.column("norm").to_pylist()]
+            keep = batch.take(pa.array([i for i, x in enumerate(got) if x], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([x for x in got if x], pa.list_(pa.int32()))], ["field", "cls", "norm", "n", "picks"])
+
+    return texts.select("field", "cls", "norm", "n").mapInArrow(run, "field string, cls binary, norm string, n int, picks array<int>")
+
+
+class Shard(NamedTuple):
+    automaton: ahocorasick.Automaton
+    posting: list[list[int]]  # by passage: the evaluation texts that look for it
+    own: list[list[int]]  # by evaluation text: its passages in order
+    words: list[set[str]]
+    least: list[int]
+    cls: list[bytes]
+
+
+def build(rows: list[tuple[bytes, str, list[int]]], threshold: Fraction) -> Shard:
+    """One automaton of all passages of the evaluation texts (cls, norm, picks)."""
+    automaton = ahocorasick.Automaton()
+    shard = Shard(automaton, [], [], [], [], [])
+    for e, (cls, norm, chosen) in enumerate(rows):
+        own = []
+        for p in passages(norm):
+            if p not in automaton:
+                automaton.add_word(p, len(shard.posting))
+                shard.posting.append([])
+            own.append(automaton.get(p))
+        for i in chosen:
+            shard.posting[own[i]].append(e)
+        shard.own.append(own)
+        shard.words.append(set(norm.split(" ")))
+        shard.least.append(least_passages(len(own) - 1, threshold))
+        shard.cls.append(cls)
+    automaton.make_automaton()
+    return shard
 
+
+def matches(shard: Shard, norm: str, threshold: Fraction) -> Iterator[tuple[bytes, float, float]]:
+    """(class, coverage, similarity) of the evaluation texts that the training text *norm* overlaps."""
+    hits = {v for _, v in shard.automaton.iter(f" {OPEN} {norm} {CLOSE} ")}
+    count: Counter[int] = Counter()
+    for v in hits:
+        count.update(shard.posting[v])
+    if not count:
+        return
+    up, down = threshold.numerator, threshold.denominator
+    theirs: set[str] = set()
+    for e, times in count.items():
+        if times < min(HITS, shard.least[e]):
+            continue
+        theirs = theirs or set(norm.split(" "))
+        ws, m = shard.words[e], len(theirs)
+        n = len(ws)
+        if min(n, m) * down < up * max(n, m):
+            continue
+        found = [i for i, p in enumerate(shard.own[e]) if p in hits]
+        if len(found) < shard.least[e]:
+            continue
+        both = len(ws & theirs)
+        if both * down >= up * (n + m - both):
+            yield shard.cls[e], coverage(found, n), both / (n + m - both)
+
+
+_built: dict[str, dict[str, Shard]] = {}
+
+
+def _scan(name: str, content, threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _built:
+            # one shard at a time in a process
+            _built.clear()
+            _built[name] = {field: build(rows, threshold) for field, rows in content.value.items()}
         for batch in batches:
-            norms = [normal_form(t) for t in batch.column("text").to_pylist()]
-            fields = batch.column("field").to_pylist()
-            cls = [xxhash.xxh3_128_digest(f"{f}\x00{x}") for f, x in zip(fields, norms, strict=True)]
-            sizes = pa.array([len(x.split(" ")) if x else 0 for x in norms], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("owner"), batch.column("side"), batch.column("field"), pa.array(cls, pa.binary()), pa.array(norms, pa.string()), sizes], ["owner", "side", "field", "cls", "norm", "n"])
-
-    return df.select("owner", "side", "field", "text").mapInArrow(run, "owner string, side string, field string, cls binary, norm string, n int").where("n > 0")
-
-
-def _scan(threshold: Fraction):
-    def run(key: tuple, ev: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(ev) and len(tr):
-            automaton = ahocorasick.Automaton()
-            posting: list[list[int]] = []
-            for e, picks in enumerate(ev["picks"]):
-                for p in picks:
-                    if p in automaton:
-                        posting[automaton.get(p)].append(e)
-                    else:
-                        automaton.add_word(p, len(posting))
-                        posting.append([e])
-            automaton.make_automaton()
-            at_least = {int(n): least_passages(int(n), threshold) for n in ev["n"].unique()}
-            needed = [min(HITS, at_least[n]) for n in ev["n"]]
-            up, down = threshold.numerator, threshold.denominator
-            classes, norms = [bytes(c) for c in ev["cls"]], list(ev["norm"])
-            known: dict[int, tuple[list[str], set[str], int]] = {}
-            for cls, norm in zip(tr["cls"], tr["norm"], strict=True):
-                hits = {v for _, v in automaton.iter(f" {OPEN} {norm} {CLOSE} ")}
-                if not hits:
-                    continue
-                count: Counter[int] = Counter()
-                for v in hits:
-                    count.update(posting[v])
-                theirs: set[str] = set()
-                for e, times in count.items():
-                    if times < needed[e]:
-                        continue
-                    if not theirs:
-                        theirs, inside = set(norm.split(" ")), set(passages(norm))
-                        m = len(theirs)
-                    if e not in known:
-                        own = passages(norms[e])
-                        known[e] = own, set(norms[e].split(" ")), at_least[len(own) - 1]
-                    own, ws, least = known[e]
-                    n = len(ws)
-                    if min(n, m) * down < up * max(n, m):
-                        continue
-                    found, share = coverage(own, inside)
-                    if found < least:
-                        continue
-                    both = len(ws & theirs)
-                    if both * down >= up * (n + m - both):
-                        out.append((classes[e], bytes(cls), share, both / (n + m - both)))
-        return pd.DataFrame(out, columns=["eval_cls", "train_cls", "coverage", "similarity"])
+            out: list[tuple] = []
+            for field, cls, norm in zip(*(batch.column(c).to_pylist() for c in ("field", "cls", "norm")), strict=True):
+                if field in _built[name]:
+                    out += [(e, cls, share, alike) for e, share, alike in matches(_built[name][field], norm, threshold)]
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], ["eval_cls", "train_cls", "coverage", "similarity"])
 
     return run
 
 
-def overlaps(texts: DataFrame, threshold: Fraction | str = "3/4") -> tuple[DataFrame, DataFrame]:
-    """Returns (classes, links) from texts(owner, side, field, text), where side is ``train`` or ``eval``.
+LINKS = "eval_cls binary, train_cls binary, coverage double, similarity double"
+
+
+def overlaps(texts: DataFrame, sides: DataFrame, threshold: Fraction | str = "3/4") -> tuple[DataFrame, DataFrame]:
+    """Returns (classes, links) from texts(owner, field, text) and sides(owner, side), where side is ``train`` or ``eval``.
 
-    classes(owner, side, field, cls): one row for each owner and different text; equal normal forms
+    classes(owner, side, field, cls): one row for each owner, side and different text; equal normal forms
     are one class.  links(eval_cls, train_cls, coverage, similarity): all pairs of classes of one
     field, one of an evaluation text and one of a training text, that overlap.  Null texts, texts
-    without a word, rows without owner, and rows of other sides match nothing; repeated rows change
+    without a word, rows without owner, and owners of no or other sides match nothing; repeated rows change
     nothing.  A text may belong to any number of owners: it is scanned once.
     """
-    threshold = Fraction(threshold)
-    rows = materialise(text_classes(texts.where("owner IS NOT NULL AND text IS NOT NULL AND side IN ('train', 'eval')").distinct()))
-    once = rows.select("side", "field", "cls", "norm", "n").dropDuplicates(["side", "cls"])
-    ws = F.split("norm", " ")
-    pair_hashes = F.zip_with(F.concat(F.array(F.lit(OPEN)), ws), F.concat(ws, F.array(F.lit(CLOSE))), lambda a, b: F.xxhash64(F.col("field"), a, b))
-    train = once.where("side = 'train'").select("field", "cls", "norm")
-    seen = train.select(F.explode(pair_hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    ev = once.where("side = 'eval'").select("field", "cls", "norm", "n", F.posexplode(pair_hashes).alias("pos", "h"))
-    # the rarest passages of each evaluation text; those that no training text has match nothing, but count
-    bound = F.udf(lambda n: rarest(n, threshold), "int")
-    need = F.udf(lambda n: min(HITS, least_passages(n, threshold)), "int")
-    sizes = once.where("side = 'eval'").select("n").distinct().select("n", bound("n").alias("most"), need("n").alias("need"))
-    ranked = ev.select("cls", "n", "pos", "h").join(seen, "h", "left").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "pos"))).alias("all"))
-    few = ranked.join(sizes, "n").select("cls", "need", F.expr("transform(filter(slice(all, 1, most), x -> x.df > 0), x -> x.pos)").alias("at")).where("size(at) >= need")
-    mark = F.concat(F.array(F.lit(OPEN)), ws, F.array(F.lit(CLOSE)))
-    picks = F.transform("at", lambda i: F.concat(F.lit(" "), F.get("marked", i), F.lit(" "), F.get("marked", i + 1), F.lit(" ")))
-    queries = materialise(once.where("side = 'eval'").select("field", "cls", "norm", "n", mark.alias("marked")).join(few, "cls").select("field", "cls", "norm", "n", picks.alias("picks")))
-
-    n_passages = queries.agg(F.sum(F.size("picks"))).head()[0] or 0
-    n_texts = train.count()
-    shards, blocks = max(1, math.ceil(n_passages / PASSAGES_PER_SHARD)), max(1, math.ceil(n_texts / TEXTS_PER_BLOCK))
-    # a grid of shards and blocks: each evaluation text in one shard, each training text in one block
-    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = queries.select("field", F.pmod(F.hash("cls"), F.lit(shards)).alias("shard"), every("block", blocks), "cls", "norm", "n", "picks")
-    right = train.select("field", F.pmod(F.hash("cls"), F.lit(blocks)).alias("block"), every("shard", shards), "cls", "norm")
-    cell = ["field", "shard", "block"]
-    links = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_scan(threshold), "eval_cls binary, train_cls binary, coverage double, similarity double")
-    return rows.select("owner", "side", "field", "cls").distinct(), links
+    spark, threshold = texts.sparkSession, Fraction(threshold)
+    rows = materialise(text_classes(texts.where("owner IS NOT NULL AND text IS NOT NULL")))
+    role = sides.where("owner IS NOT NULL AND side IN ('train', 'eval')").select("owner", "side").distinct()
+    classes = materialise(rows.select("owner", "field", "cls").distinct().join(role, "owner").select("owner", "side", "field", "cls"))
+    roles = classes.groupBy("cls").agg(F.max(F.col("side") == "train").alias("train"), F.max(F.col("side") == "eval").alias("eval"))
+    # the one shuffle of texts, into as many files as there are tasks to scan them
+    once = rows.select("field", "cls", "norm", "n").repartition(parallelism(spark), "cls").dropDuplicates(["cls"])
+    once = materialise(once.join(roles, "cls").select("field", "cls", "norm", "n", "train", "eval"))
+    train = once.where("train").select("field", "cls", "norm")
+    counts = spark.sparkContext.broadcast(word_counts(train))
+    queries = materialise(_queries(once.where("eval"), counts, threshold))
+    shards = max(1, math.ceil((queries.agg(F.sum(F.col("n") + 1)).head()[0] or 0) / PASSAGES_PER_SHARD))
+    links = spark.createDataFrame([], LINKS)
+    for i in range(shards):
+        own: dict[str, list] = {}
+        for r in queries.where(F.pmod(F.hash("cls"), F.lit(shards)) == i).select("field", "cls", "norm", "picks").toLocalIterator():
+            own.setdefault(r["field"], []).append((bytes(r["cls"]), r["norm"], r["picks"]))
+        if own:
+            content = spark.sparkContext.broadcast(own)
+            found = materialise(train.mapInArrow(_scan(f"{spark.sparkContext.applicationId}-{content._jbroadcast.id()}", content, threshold), LINKS))
+            links = links.unionByName(found)
+            content.destroy()
+    return classes, links

@@ -22,5 +22,12 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), F.count(F.when(~F.col("text").eqNullSafe(F.col("decoded")), 1)).alias("n_unlike"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
-ORACLES: dict[str, str] = {}
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: texts, and the characters and bytes that their ids decode to: those of the texts."""
+    back = tokens.decode(p6_ids(spark, d), "doc_id", "ids")
+    both = table(spark, d, "documents").select("doc_id", "source").join(back, "doc_id")
+    return both.groupBy("source").agg(F.count("*").alias("n_texts"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.octet_length("raw")).alias("n_bytes"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p6_decoded": p6_decoded}
+ORACLES = {"p6_decoded": "SELECT source, count(*) AS n_texts, sum(coalesce(length(text), 0))::BIGINT AS n_chars, sum(coalesce(strlen(text), 0))::BIGINT AS n_bytes FROM documents GROUP BY source"}

@@ -136,11 +136,6 @@ def find_sections(df: DataFrame, key: str, body: str) -> DataFrame:
     return _batches(df, key, body, run, f"`{key}` string, section_start int, section_end int, heading_path array<string>")
 
 
-def oversized_sections(df: DataFrame, key: str, body: str, limit: int) -> DataFrame:
-    """The sections of ``find_sections`` that are longer than *limit* code points."""
-    return find_sections(df, key, body).where(F.col("section_end") - F.col("section_start") > limit)
-
-
 def split(df: DataFrame, key: str, body: str, limit: int, overlap: int, with_text: bool = False) -> DataFrame:
     """(key, char_start, char_end, heading_path, section_start, piece[, text]): every section in pieces within *limit*.
 

@@ -22,3 +22,11 @@ def words(text: str | None) -> list[str]:
     if not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
     return WORD.findall(_INVISIBLE.sub("", text).lower())
+
+
+def words_sql(x: str) -> str:
+    """The words in the SQL of the oracles, for texts whose compatibility forms are full-width ones, ligatures and superscripts."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    plain = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    forms = f"replace(replace(replace(translate({x}, '{wide}²³¹', '{plain}231'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...')"
+    return f"regexp_extract_all(lower(regexp_replace(nfc_normalize({forms}), '[{''.join(map(chr, INVISIBLE))}]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"

@@ -4,6 +4,7 @@ from fractions import Fraction
 import pytest
 
 from spanwise.llm import overlap as O
+from spanwise.llm import p1
 from spanwise.llm.words import words
 
 
@@ -32,13 +33,12 @@ def texts(seed):
 
 
 @pytest.mark.parametrize("threshold", ["3/4", "1/2", "9/10"])
-@pytest.mark.parametrize("grid", [60_000, 15])
+@pytest.mark.parametrize("grid", [60_000, 150])
 def test_links_are_those_of_brute_force(spark, monkeypatch, threshold, grid):
     monkeypatch.setattr(O, "PASSAGES_PER_SHARD", grid)
-    monkeypatch.setattr(O, "TEXTS_PER_BLOCK", grid)
     rows = texts(5)
     df = spark.createDataFrame([(*r, 1) for r in rows], "owner string, side string, field string, text string, cls int")
-    classes, links = O.overlaps(df, threshold)
+    classes, links = O.overlaps(df, df.select("owner", "side"), threshold)
     owners = {}
     for r in classes.collect():
         owners.setdefault((r.side, bytes(r.cls)), []).append((r.owner, r.field))
@@ -49,7 +49,7 @@ def test_links_are_those_of_brute_force(spark, monkeypatch, threshold, grid):
 @pytest.mark.parametrize("side", ["train", "eval", None])
 def test_empty_sides(spark, side):
     df = spark.createDataFrame([("a", side, "query", "one two three")] if side else [], "owner string, side string, field string, text string")
-    classes, links = O.overlaps(df)
+    classes, links = O.overlaps(df, df.select("owner", "side"))
     assert links.count() == 0 and classes.count() == (1 if side else 0)
 
 
@@ -62,13 +62,32 @@ def test_no_edit_breaks_more_passages_than_the_bound():
         o = {x for x in e if rnd.random() > 0.15} | set(rnd.sample(vocab, rnd.randint(0, 4)))
         if o and len(e & o) >= t * len(e | o):
             own, other = O.passages(" ".join(sorted(e))), set(O.passages(" ".join(sorted(o))))
-            found, share = O.coverage(own, other)
-            assert found >= O.least_passages(len(e), t) and 0 < share <= 1
+            found = [i for i, p in enumerate(own) if p in other]
+            assert len(found) >= O.least_passages(len(e), t) and 0 < O.coverage(found, len(e)) <= 1
 
 
 def test_coverage_merges_intervals():
-    own = O.passages("a b c d")
-    assert O.coverage(own, set(own)) == (5, 1.0)
-    assert O.coverage(own, {" b c "}) == (1, 0.5)
-    assert O.coverage(own, {" a b ", " b c "}) == (2, 0.75)
-    assert O.coverage(own, set()) == (0, 0.0)
+    assert O.coverage([0, 1, 2, 3, 4], 4) == 1.0
+    assert O.coverage([2], 4) == 0.5
+    assert O.coverage([1, 2], 4) == 0.75
+    assert O.coverage([], 4) == 0.0
+
+
+def test_coverage_comes_from_the_automaton():
+    shard = O.build([(b"e", "a b c d", [0, 1])], Fraction(1, 2))
+    assert list(O.matches(shard, "a b c x", Fraction(1, 2))) == [(b"e", 0.75, 0.6)]
+    assert list(O.matches(shard, "d x y z", Fraction(1, 2))) == []
+
+
+def test_counts_need_no_pairs(spark):
+    """Cases with equal texts, cases with several, and a case of both sides."""
+    rows = [("e1", "eval", "one two three four"), ("e2", "eval", "one two three four"), ("e3", "eval", "five six seven"), ("e3", "eval", "one two three four"), ("t1", "train", "one two three four"), ("t2", "train", "one two three four five"), ("t3", "train", "six seven five"), ("t3", "train", "one two three four"), ("b", "train", "one two three four"), ("b", "eval", "one two three four"), ("e4", "eval", "none of these")]
+    texts = spark.createDataFrame([(o, "quote", x) for o, _, x in rows], "owner string, field string, text string")
+    sides = spark.createDataFrame([(o, s) for o, s, _ in rows], "owner string, side string")
+    classes, links = O.overlaps(texts, sides)
+    pairs = {}
+    for r in p1._pairs(classes, links).collect():
+        pairs.setdefault(r.eval_case, set()).add(r.train_case)
+    got = {r.case_id: (r.n_pairs, r.coverage) for r in p1._per_case(classes, links).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"e1": 4, "e2": 4, "e3": 4, "b": 3, "e4": 0} == {k: len(pairs.get(k, ())) for k in got}
+    assert got["e1"][1] == 1.0 and got["e4"][1] == 0.0
