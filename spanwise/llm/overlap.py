@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ..common import materialise, parallelism
 from .words import words
 
-PASSAGES_PER_SHARD = 200_000
-"""Passages of the evaluation texts of one shard: what goes through the driver at once (some 20 MB), and into an automaton (some 150 MB)."""
+PASSAGES_PER_SHARD = 400_000
+"""Passages of the evaluation texts of one shard: what goes through the driver at once (some 40 MB), and into an automaton (some 200 MB)."""
 WORD_SLOTS = 2**18
 """Words are counted by slots, so that the counts that are broadcast (2 MB) do not grow with the data.  They choose passages, no more."""
 HITS = 2
@@ -116,8 +116,9 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def picks(norm: str, counts: np.ndarray, threshold: Fraction, slots: dict[str, int]) -> list[int]:
-    """Places of the passages to look for: the rarest, those left out that no training text has; [] where too few are left for a match."""
+def picks(norm: str, counts: np.ndarray, threshold: Fraction, slots: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Places of the passages to look for, the rarest, and of those that some training text may have.  The
+    former are [] where too few of them are among the latter for a match."""
     ws = norm.split(" ")
     n = len(ws)
     often = []
@@ -129,11 +130,12 @@ def picks(norm: str, counts: np.ndarray, threshold: Fraction, slots: dict[str, i
     most = [often[0], *map(min, often, often[1:]), often[-1]]
     chosen = sorted(range(n + 1), key=lambda i: (most[i], i))[: rarest(n, threshold)]
     chosen = [i for i in chosen if most[i]]
-    return chosen if len(chosen) >= min(HITS, least_passages(n, threshold)) else []
+    there = [i for i, m in enumerate(most) if m]
+    return (chosen if len(chosen) >= min(HITS, least_passages(n, threshold)) and len(there) >= least_passages(n, threshold) else []), there
 
 
 def _queries(texts: DataFrame, counts, threshold: Fraction) -> DataFrame:
-    """(field, cls, norm, n, picks) of the evaluation texts that can match at all."""
+    """(field, cls, norm, n, picks, there) of the evaluation texts that can match at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots: dict[str, int] = {}
@@ -141,39 +143,40 @@ def _queries(texts: DataFrame, counts, threshold: Fraction) -> DataFrame:
             if len(slots) > 500_000:
                 slots.clear()
             got = [picks(x, counts.value, threshold, slots) for x in batch.column("norm").to_pylist()]
-            keep = batch.take(pa.array([i for i, x in enumerate(got) if x], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([x for x in got if x], pa.list_(pa.int32()))], ["field", "cls", "norm", "n", "picks"])
+            keep = [i for i, (x, _) in enumerate(got) if x]
+            lists = [pa.array([got[i][j] for i in keep], pa.list_(pa.int32())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, *lists], ["field", "cls", "norm", "n", "picks", "there"])
 
-    return texts.select("field", "cls", "norm", "n").mapInArrow(run, "field string, cls binary, norm string, n int, picks array<int>")
+    return texts.select("field", "cls", "norm", "n").mapInArrow(run, "field string, cls binary, norm string, n int, picks array<int>, there array<int>")
 
 
 class Shard(NamedTuple):
     automaton: ahocorasick.Automaton
     posting: list[list[int]]  # by passage: the evaluation texts that look for it
-    own: list[list[int]]  # by evaluation text: its passages in order
+    own: list[list[tuple[int, int]]]  # by evaluation text: (place, passage) in order
     words: list[set[str]]
     least: list[int]
     cls: list[bytes]
 
 
-def build(rows: list[tuple[bytes, str, list[int]]], threshold: Fraction) -> Shard:
-    """One automaton of all passages of the evaluation texts (cls, norm, picks)."""
-    automaton = ahocorasick.Automaton()
-    shard = Shard(automaton, [], [], [], [], [])
-    for e, (cls, norm, chosen) in enumerate(rows):
-        own = []
-        for p in passages(norm):
-            if p not in automaton:
-                automaton.add_word(p, len(shard.posting))
-                shard.posting.append([])
-            own.append(automaton.get(p))
+def build(rows: list[tuple[bytes, str, list[int], list[int]]], threshold: Fraction) -> Shard:
+    """One automaton of all passages that may occur, of the evaluation texts (cls, norm, picks, there)."""
+    number: dict[str, int] = {}
+    shard = Shard(ahocorasick.Automaton(), [], [], [], [], [])
+    for e, (cls, norm, chosen, there) in enumerate(rows):
+        every = passages(norm)
+        own = [(i, number.setdefault(every[i], len(number))) for i in there]
+        shard.posting.extend([] for _ in range(len(number) - len(shard.posting)))
+        at = dict(own)
         for i in chosen:
-            shard.posting[own[i]].append(e)
+            shard.posting[at[i]].append(e)
         shard.own.append(own)
         shard.words.append(set(norm.split(" ")))
-        shard.least.append(least_passages(len(own) - 1, threshold))
+        shard.least.append(least_passages(len(every) - 1, threshold))
         shard.cls.append(cls)
-    automaton.make_automaton()
+    for p, i in number.items():
+        shard.automaton.add_word(p, i)
+    shard.automaton.make_automaton()
     return shard
 
 
@@ -195,7 +198,7 @@ def matches(shard: Shard, norm: str, threshold: Fraction) -> Iterator[tuple[byte
         n = len(ws)
         if min(n, m) * down < up * max(n, m):
             continue
-        found = [i for i, p in enumerate(shard.own[e]) if p in hits]
+        found = [i for i, p in shard.own[e] if p in hits]
         if len(found) < shard.least[e]:
             continue
         both = len(ws & theirs)
@@ -250,8 +253,8 @@ def overlaps(texts: DataFrame, sides: DataFrame, threshold: Fraction | str = "3/
     links = spark.createDataFrame([], LINKS)
     for i in range(shards):
         own: dict[str, list] = {}
-        for r in queries.where(F.pmod(F.hash("cls"), F.lit(shards)) == i).select("field", "cls", "norm", "picks").toLocalIterator():
-            own.setdefault(r["field"], []).append((bytes(r["cls"]), r["norm"], r["picks"]))
+        for r in queries.where(F.pmod(F.hash("cls"), F.lit(shards)) == i).select("field", "cls", "norm", "picks", "there").toLocalIterator():
+            own.setdefault(r["field"], []).append((bytes(r["cls"]), r["norm"], r["picks"], r["there"]))
         if own:
             content = spark.sparkContext.broadcast(own)
             found = materialise(train.mapInArrow(_scan(f"{spark.sparkContext.applicationId}-{content._jbroadcast.id()}", content, threshold), LINKS))

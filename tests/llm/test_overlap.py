@@ -74,11 +74,20 @@ def test_coverage_merges_intervals():
 
 
 def test_coverage_comes_from_the_automaton():
-    shard = O.build([(b"e", "a b c d", [0, 1])], Fraction(1, 2))
+    shard = O.build([(b"e", "a b c d", [0, 1], [0, 1, 2, 3])], Fraction(1, 2))
     assert list(O.matches(shard, "a b c x", Fraction(1, 2))) == [(b"e", 0.75, 0.6)]
     assert list(O.matches(shard, "d x y z", Fraction(1, 2))) == []
 
 
+def test_passages_without_a_training_word_are_left_out():
+    counts = O.np.zeros(O.WORD_SLOTS, int)
+    for w in "abc":
+        counts[O.slot(w)] = 5
+    counts[O.slot("b")] = 1
+    assert O.picks("a b c d", counts, Fraction(1, 2), {}) == ([1, 2, 0], [0, 1, 2])
+    assert O.picks("x y z", counts, Fraction(1, 2), {})[0] == []
+
+
 def test_counts_need_no_pairs(spark):
     """Cases with equal texts, cases with several, and a case of both sides."""
     rows = [("e1", "eval", "one two three four"), ("e2", "eval", "one two three four"), ("e3", "eval", "five six seven"), ("e3", "eval", "one two three four"), ("t1", "train", "one two three four"), ("t2", "train", "one two three four five"), ("t3", "train", "six seven five"), ("t3", "train", "one two three four"), ("b", "train", "one two three four"), ("b", "eval", "one two three four"), ("e4", "eval", "none of these")]
