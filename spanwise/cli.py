@@ -59,30 +59,60 @@ def compare(args: argparse.Namespace) -> int:
     return 0
 
 
-def validate(args: argparse.Namespace) -> int:
+def _checks(spark, args: argparse.Namespace) -> list:
+    """(name, rows that break the check) of everything that the arguments give."""
+    from pyspark.sql import functions as F
+
     from .operators import validate as V
     from .sources.cases import load_cases
-    from .sources.corpus import check_encoding, load_corpus, load_ledger
+    from .sources.corpus import load_corpus, load_ledger
 
-    spark = _spark()
-    problems = [f"{r['path']}: {r['problem']}" for r in check_encoding(spark, args.corpus).limit(100).collect()]
-    if not problems:
-        docs = load_corpus(spark, args.corpus)
-        checks = [("front matter", V.front_matter(docs))]
+    docs = load_corpus(spark, args.corpus)
+    out = [("front matter", V.front_matter(docs))]
+    gaps: dict[str, list[str]] = {}
+    if args.facts:
+        known = load_ledger(spark, args.facts)
+        gaps = {r["id"]: r["probe_terms"] for r in known["gaps"].collect()}
+        out += [("fact", V.facts_present(known["facts"], docs)), ("authority", V.rival_authority(known["facts"], docs)), ("superseded", V.superseded_values(known["superseded"], docs)), ("gap", V.gap_probes(docs, gaps))]
+    if args.dataset:
+        tables = load_cases(spark, args.dataset, split=None)
+        cases, spans = tables["cases"], tables["spans"]
+        named = cases.select("case_id", "answerable", F.explode("expected_document_ids").alias("doc_id"))
+        per_case = spans.groupBy("case_id").agg(F.count("*").alias("n_spans"))
+        formed = cases.join(per_case, "case_id", "left").select("*", F.size("expected_document_ids").alias("n_documents")).fillna({"n_spans": 0})
+        out += [
+            ("form", V.case_schema(formed)),
+            ("repeated case", V.duplicates(cases, ["case_id"])),
+            ("unknown document", V.missing_keys(named.select("case_id", "doc_id"), docs, "doc_id")),
+            ("quote without a place", V.unresolved_quotes(spans, docs)),
+            ("no span in document", V.unjustified_documents(named.where("answerable").select("case_id", "doc_id"), spans)),
+            ("distribution", V.distribution(cases, V.LEAST_CASES)),
+        ]
         if args.facts:
-            ledger = load_ledger(spark, args.facts)
-            gaps = {r["id"]: r["probe_terms"] for r in ledger["gaps"].collect()}
-            checks += [("fact", V.facts_present(ledger["facts"], docs)), ("authority", V.rival_authority(ledger["facts"], docs)), ("gap", V.gap_probes(docs, gaps))]
-        if args.dataset:
-            tables = load_cases(spark, args.dataset, split=None, documents=docs)
-            from pyspark.sql import functions as F
-
-            named = tables["cases"].select("case_id", F.explode("expected_document_ids").alias("doc_id"))
-            checks += [("unknown document", V.missing_keys(named, docs, "doc_id")), ("no span in document", V.unjustified_documents(named, tables["spans"])), ("repeated case", V.duplicates(tables["cases"], ["case_id"]))]
-        problems = [f"{name}: {json.dumps(r.asDict(), ensure_ascii=False)}" for name, df in checks for r in df.limit(100).collect()]
-    for p in problems:
-        print(p, file=sys.stderr)
-    return 1 if problems else 0
+            ids = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+            declared = ids("fact", known["facts"], "id").unionByName(ids("fact", known["superseded"], "id")).unionByName(ids("chain", known["chains"], "id"))
+            used = tables["facts"].select("case_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("id")).unionByName(cases.select("case_id", F.lit("chain").alias("kind"), F.col("source_chain_id").alias("id")))
+            out += [("not in the ledger", V.undeclared(used, declared)), ("unanswerable", V.unanswerable(cases, docs, gaps))]
+    return out
+
+
+def validate(args: argparse.Namespace) -> int:
+    """Prints every broken rule, and their number by check."""
+    from .sources.corpus import check_encoding
+
+    spark = _spark()
+    checks = [("encoding", check_encoding(spark, args.corpus))]
+    if checks[0][1].isEmpty():
+        checks = _checks(spark, args)
+    total = 0
+    for name, df in checks:
+        n = 0
+        for row in df.toLocalIterator():
+            n += 1
+            print(f"{name}: {json.dumps(row.asDict(), ensure_ascii=False)}", file=sys.stderr)
+        print(f"{name}: {n}")
+        total += n
+    return 1 if total else 0
 
 
 def ledger(args: argparse.Namespace) -> int:

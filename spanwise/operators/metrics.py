@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import materialise
 from ..functions import spans as S
 from ..functions import text as T
 
@@ -36,13 +37,14 @@ def retrieval_metrics(cases: DataFrame, spans: DataFrame, retrieved: DataFrame,
     many spans it covers; precision is over the chunks there are, not over k.  Without resolvable spans all
     are NULL; with spans and nothing retrieved all are 0.  mrr has no cut-off.
     """
-    hits = relevance(spans, retrieved, threshold)
-    first = hits.groupBy(*KEY, "span_id").agg(F.min("rank").alias("first"))
-    found = first.groupBy(*KEY).agg(F.min("first").alias("best"), *[F.count(F.when(F.col("first") <= k, 1)).alias(f"_found_{k}") for k in ks])
-    relevant = hits.select(*KEY, "rank").distinct().groupBy(*KEY).agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"_rel_{k}") for k in ks])
+    hit = F.collect_list(F.struct("span_id", "rank")).alias("hits")
+    lists = relevance(spans, retrieved, threshold).groupBy(*KEY).agg(hit, F.min("rank").alias("best"))
+    # one retrieval's hits are few: both counts are taken from one list
+    upto = lambda k, c: F.size(F.array_distinct(F.transform(F.filter("hits", lambda x: x["rank"] <= k), lambda x: x[c])))
+    found = lists.select(*KEY, "best", *[upto(k, "span_id").alias(f"_found_{k}") for k in ks], *[upto(k, "rank").alias(f"_rel_{k}") for k in ks])
     shown = retrieved.groupBy(*KEY).agg(*[F.count(F.when(F.col("rank") <= k, 1)).alias(f"_top_{k}") for k in ks])
     total = resolvable(spans).groupBy("case_id").agg(F.count("*").alias("n_spans"))
-    all_ = cases.join(total, "case_id", "left").join(found, KEY, "left").join(relevant, KEY, "left").join(shown, KEY, "left")
+    all_ = cases.join(total, "case_id", "left").join(found, KEY, "left").join(shown, KEY, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     has = F.col("n_spans").isNotNull()
     return all_.select(
@@ -169,8 +171,9 @@ def forbidden_claims(cases: DataFrame, forbidden: DataFrame) -> DataFrame:
 def score(traces: DataFrame, spans: DataFrame, retrieved: DataFrame, expected: DataFrame, facts: DataFrame, forbidden: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All metrics of every row of traces, one wide row per (run_id, case_id)."""
     cases = traces.select(*KEY)
-    own = claims(traces)
-    cites = bind_citations(own, labels, retrieved)
+    # the claims are found once: cutting answers is the slow part
+    own = materialise(claims(traces))
+    cites = materialise(bind_citations(own, labels, retrieved))
     parts = [
         retrieval_metrics(cases, spans, retrieved, threshold),
         document_recall(cases, expected, retrieved),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.spans import resolve_quote
 
 #: Keys that front matter must have; fixed values.
 REQUIRED = ("doc_id", "title", "version", "effective_date")
@@ -54,18 +55,56 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def unresolved_quotes(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """(case_id, doc_id, quote): spans whose document exists but whose quote has no place in it."""
+    placed = spans.join(docs.select("doc_id", "body"), "doc_id").withColumn("at", resolve_quote("body", "quote"))
+    return placed.where("at IS NULL OR coalesce(at.char_start, -1) < 0").select("case_id", "doc_id", "quote")
+
+
 def unjustified_documents(cases: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows of cases(case_id, doc_id) whose document no span of the case is in."""
     return cases.join(spans.select("case_id", "doc_id").distinct(), ["case_id", "doc_id"], "left_anti")
 
 
-def distribution(cases: DataFrame, least: dict[str, int], total: int = 30) -> DataFrame:
-    """(category, n, n_splits, problem): categories with too few cases, or in one split only; and too few cases at all."""
+#: Least number of cases of each category, and of all; fixed values.
+LEAST_CASES = {"factual": 10, "multi_hop": 5, "aggregation": 4, "unanswerable": 4, "ambiguous": 3, "temporal": 2, "citation_stress": 2}
+LEAST_TOTAL = 30
+
+
+def distribution(cases: DataFrame, least: dict[str, int], total: int = LEAST_TOTAL) -> DataFrame:
+    """(category, n, n_splits, problem): categories with too few cases (or none), or several in one split only; and too few cases at all."""
     per = cases.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("split").alias("n_splits"))
-    need = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))]) if least else F.create_map()
-    few = F.when(F.col("n") < F.coalesce(need[F.col("category")] if least else F.lit(0), F.lit(0)), "too few").when(F.col("n_splits") < 2, "one split")
+    wanted = cases.sparkSession.createDataFrame(list(least.items()), "category string, least int")
+    own = per.join(F.broadcast(wanted), "category", "full").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_splits", F.lit(0)).alias("n_splits"), F.coalesce("least", F.lit(0)).alias("least"))
+    few = F.when(F.col("n") < F.col("least"), "too few").when((F.col("n_splits") < 2) & (F.col("n") > 1), "one split")
     all_ = cases.agg(F.count("*").alias("n"), F.countDistinct("split").alias("n_splits")).select(F.lit("*").alias("category"), "n", "n_splits", F.when(F.col("n") < total, "too few").alias("problem"))
-    return per.withColumn("problem", few).unionByName(all_).where("problem IS NOT NULL")
+    return own.select("category", "n", "n_splits", few.alias("problem")).unionByName(all_).where("problem IS NOT NULL")
+
+
+def undeclared(named: DataFrame, declared: DataFrame) -> DataFrame:
+    """Rows of named(case_id, kind, id) whose id no row of declared(kind, id) has; null ids name nothing."""
+    return named.where("id IS NOT NULL").join(declared.select("kind", "id").distinct(), ["kind", "id"], "left_anti").select("case_id", "kind", "id")
+
+
+def unanswerable(cases: DataFrame, docs: DataFrame, gaps: dict[str, list[str]]) -> DataFrame:
+    """(case_id, gap_id, term, doc_id): unanswerable rows of cases(case_id, answerable, gap_id) whose gap is not declared
+    (term and document null), or of whose gap a document holds a term, whatever its case.
+
+    Terms are a short declared list: the bodies are read once and nothing but the hits is joined.
+    """
+    own = cases.where("NOT answerable").select("case_id", "gap_id").distinct()
+    found = [F.when(F.contains(F.lower("body"), F.lit(t.lower())), F.struct(F.lit(g).alias("gap_id"), F.lit(t).alias("term"))) for g, ts in gaps.items() for t in ts]
+    hits = docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.gap_id", "x.term", "doc_id") if found else None
+    none = own.where(~F.coalesce(F.col("gap_id").isin(list(gaps)), F.lit(False))).select("case_id", "gap_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("doc_id"))
+    return none if hits is None else none.unionByName(own.join(hits, "gap_id").select("case_id", "gap_id", "term", "doc_id"))
+
+
+def superseded_values(old: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, side, doc_id, problem): rows of old(id, side, value, doc_id) whose document does not exist, or does not hold the
+    value in plain form.  Both versions of a fact must be there."""
+    bodies = docs.select("doc_id", F.coalesce("body", F.lit("")).alias("body"))
+    problem = F.when(F.col("body").isNull(), "no document").when(~F.contains(T.plain("body"), T.plain("value")), "no value")
+    return old.join(bodies, "doc_id", "left").select("id", "side", "doc_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def facts_present(facts: DataFrame, docs: DataFrame) -> DataFrame:

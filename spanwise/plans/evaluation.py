@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import materialise, table
-from ..functions import spans as S
 from ..functions import text as T
+from ..functions.matchers import compile_matcher
+from ..functions.matchers import fact_coverage as matched_share
 from ..operators import metrics as A
 from ..operators import model as M
 from ..operators import retrieval as R
@@ -82,17 +83,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.bm25_top_k(_queries(spark, d), _chunk_texts(spark, d), 10))
 
 
-def dense_topk_exact(spark: SparkSession, d: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rounded(R.dense_top_k(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10, 64))
+    return R.dense_top_k(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), k, 64)
+
+
+def dense_topk_exact(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_nearest(spark, d, 10))
 
 
 def dense_label_precision(spark: SparkSession, d: str) -> DataFrame:
     """Share of the ten nearest other vectors that have the query's label, by label."""
     e = table(spark, d, "embeddings")
     label = e.select("vec_id", "label")
-    top = dense_topk_exact(spark, d).where("query_id <> item_id")
+    own = Window.partitionBy("query_id").orderBy("rank")
+    top = _nearest(spark, d, 11).where("query_id <> item_id").withColumn("n", F.row_number().over(own)).where("n <= 10")
     both = top.join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id").join(label.select(F.col("vec_id").alias("item_id"), "label"), "item_id")
     return both.groupBy(F.col("want").alias("label")).agg(F.count("*").alias("n"), r6(F.avg((F.col("want") == F.col("label")).cast("int"))).alias("precision"))
 
@@ -154,7 +160,7 @@ def retrieval_scorecard(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over all chunks for the stated queries, scored against the evidence spans: one row per query."""
     found = R.bm25_top_k(_queries(spark, d), _chunk_texts(spark, d), 10)
     place = M.chunks(table(spark, d, "chunks")).select(F.col("chunk_id").alias("item_id"), "doc_id", "char_start", "char_end")
-    ranked = found.join(place, "item_id").select(F.lit("bm25").alias("run_id"), F.col("query_id").alias("case_id"), "rank", "doc_id", "char_start", "char_end")
+    ranked = materialise(found.join(place, "item_id").select(F.lit("bm25").alias("run_id"), F.col("query_id").alias("case_id"), "rank", "doc_id", "char_start", "char_end"))
     cases = _queries(spark, d).select(F.lit("bm25").alias("run_id"), F.col("query_id").alias("case_id"))
     return rounded(A.retrieval_metrics(cases, _spans(spark, d), ranked))
 
@@ -247,6 +253,24 @@ def fact_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.numeric_facts(_ok(_traces(spark, d)).select(*KEY, "answer"), _facts(spark, d)))
 
 
+#: Required facts of one question, asked of every answer: each kind of matcher, alone and nested.
+REQUIRED = [
+    {"matcher": {"kind": "literal", "value": "subscription"}},
+    {"matcher": {"kind": "literal", "value": "Record", "case_sensitive": True}, "weight": 0.5},
+    {"matcher": {"kind": "numeric", "value": 30, "tolerance": 5}, "weight": 2.0},
+    {"matcher": {"kind": "regex", "pattern": r"[0-9]+ (?:minutes|hours|days)"}},
+    {"matcher": {"kind": "any_of", "matchers": [{"kind": "literal", "value": "export"}, {"kind": "literal", "value": "import"}]}},
+    {"matcher": {"kind": "all_of", "matchers": [{"kind": "literal", "value": "the"}, {"kind": "absent", "matcher": {"kind": "regex", "pattern": "[Nn]ot", "flags": ""}}]}},
+]
+
+
+def required_facts(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted share of REQUIRED that each answer holds, and which of them."""
+    answer = F.col("answer")
+    held = F.concat_ws("", *[F.when(compile_matcher(f["matcher"], answer), "1").otherwise("0") for f in REQUIRED])
+    return rounded(_ok(_traces(spark, d)).select(*KEY, matched_share(REQUIRED, answer).alias("required_fact_coverage"), held.alias("held")))
+
+
 def forbidden_claims(spark: SparkSession, d: str) -> DataFrame:
     claims = _spans(spark, d).where("case_id IS NOT NULL AND NOT coalesce(authoritative, false)").select("case_id", F.col("quote").alias("claim"))
     return A.forbidden_claims(_ok(_traces(spark, d)).select(*KEY, "answer"), claims)
@@ -269,7 +293,7 @@ def _light(spark: SparkSession, d: str) -> DataFrame:
     t = _ok(_traces(spark, d))
     m = retrieval_metrics(spark, d).select(*KEY, "recall_at_5", "mrr")
     a = A.abstention(t).select(*KEY, "correct")
-    return t.select(*KEY, "pipeline_name", "category", "latency_ms", "ingested_at").join(m, KEY).join(a, KEY)
+    return materialise(t.select(*KEY, "pipeline_name", "category", "latency_ms", "ingested_at").join(m, KEY).join(a, KEY))
 
 
 METRICS = ["recall_at_5", "mrr", "correct"]
@@ -279,6 +303,19 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(G.summarise(_light(spark, d), ["pipeline_name"], METRICS))
 
 
+ALL_METRICS = [
+    *(f"recall_at_{k}" for k in A.KS), "precision_at_5", "mrr", "document_recall", "required_fact_coverage", "forbidden_claims", "abstention_correct", "citation_validity", "citation_precision_doc", "claim_citation_coverage",
+    "distinct_docs_cited",
+]
+
+
+def metric_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric by pipeline: over how many cases it is defined, and its mean there.  Failed runs do not count."""
+    scores = case_scores(spark, d)
+    own = _ok(_traces(spark, d)).select(*KEY, "pipeline_name")
+    return rounded(G.summarise(own.join(scores, KEY), ["pipeline_name"], ALL_METRICS))
+
+
 def per_category_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Each category and all of them (null), in one pass."""
     return _light(spark, d).rollup("category").agg(F.count("*").alias("n"), r6(F.avg("recall_at_5")).alias("recall_at_5"), r6(F.avg("mrr")).alias("mrr"), r6(F.avg(F.col("correct").cast("int"))).alias("accuracy"), F.grouping("category").cast("int").alias("is_all"))
@@ -301,44 +338,60 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("run_id", "pipeline_name").agg(F.count("*").alias("n_cases"), F.count(F.when(failed, 1)).alias("n_errors"), F.countDistinct("category").alias("n_categories"), F.min("top_k").alias("top_k"), F.count(F.when(F.size("unresolved_labels") > 0, 1)).alias("n_with_unresolved"))
 
 
-def _arm(spark: SparkSession, d: str, name: str) -> DataFrame:
+def _arm(light: DataFrame, name: str) -> DataFrame:
     """The last run of each case in a pipeline."""
-    rows = _light(spark, d).where(F.col("pipeline_name") == name)
+    rows = light.where(F.col("pipeline_name") == name)
     return M.latest(rows, ["case_id"], [F.col("ingested_at").desc_nulls_last(), F.col("run_id").desc()])
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(G.pair(_arm(spark, d, "baseline"), _arm(spark, d, "improved"), METRICS))
+def _pairs(light: DataFrame) -> DataFrame:
+    return materialise(G.pair(_arm(light, "baseline"), _arm(light, "improved"), METRICS))
 
 
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Paired means by category over the cases that both arms define."""
-    cats = _arm(spark, d, "baseline").select("case_id", "category")
-    return _pairs(spark, d).join(cats, "case_id").groupBy("metric", "category").agg(F.count("*").alias("n"), r6(F.avg("baseline")).alias("baseline"), r6(F.avg("improved")).alias("improved"), r6(F.avg(F.col("improved") - F.col("baseline"))).alias("delta"))
+    light = _light(spark, d)
+    cats = _arm(light, "baseline").select("case_id", "category")
+    return _pairs(light).join(cats, "case_id").groupBy("metric", "category").agg(F.count("*").alias("n"), r6(F.avg("baseline")).alias("baseline"), r6(F.avg("improved")).alias("improved"), r6(F.avg(F.col("improved") - F.col("baseline"))).alias("delta"))
 
 
 def paired_bootstrap_exact(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.compare_exact(_pairs(spark, d)))
+    return rounded(G.compare_exact(_pairs(_light(spark, d))))
 
 
 def paired_bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.compare_poisson(_pairs(spark, d)))
+    return rounded(G.compare_poisson(_pairs(_light(spark, d))))
 
 
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Variants (kind of retrieval, budget) against metrics."""
+    """Variants (kind of retrieval, budget) against metrics and latency, with the name of each variant."""
     t = _ok(_traces(spark, d)).select(*KEY, "retrieval_kind", "top_k", "latency_ms")
-    m = t.join(retrieval_metrics(spark, d), KEY)
-    return m.groupBy("retrieval_kind", "top_k").agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr", "precision_at_5")], r6(F.max("latency_ms")).alias("max_latency_ms"))
+    m = materialise(t.join(retrieval_metrics(spark, d), KEY))
+    by = ["retrieval_kind", "top_k"]
+    grid = m.groupBy(*by).agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(c) for c in ("recall_at_1", "recall_at_5", "recall_at_10", "mrr", "precision_at_5")], r6(F.avg("latency_ms")).alias("mean_latency_ms"), r6(F.max("latency_ms")).alias("max_latency_ms"))
+    middle = G.order_statistics(m, by, "latency_ms", {"low": 0.5 - 1e-12, "high": 0.5}).select(*[F.col(c).alias(f"_{c}") for c in by], r6((F.col("low") + F.col("high")) / 2).alias("median_latency_ms"))
+    both = grid.join(middle, F.col("retrieval_kind").eqNullSafe(F.col("_retrieval_kind")) & F.col("top_k").eqNullSafe(F.col("_top_k")), "left").drop("_retrieval_kind", "_top_k")
+    return both.withColumn("variant", F.concat_ws(" k=", "retrieval_kind", "top_k"))
 
 
 def ablation_deltas(spark: SparkSession, d: str) -> DataFrame:
-    """Change of each kind of retrieval from the dense one."""
+    """Change of each kind of retrieval from the dense one, over all budgets."""
     m = _ok(_traces(spark, d)).select(*KEY, "retrieval_kind").join(retrieval_metrics(spark, d), KEY)
     long = materialise(G.summarise(m, ["retrieval_kind"], ["recall_at_5", "mrr", "precision_at_5"]).select("retrieval_kind", "metric", F.col("mean").alias("value")))
     return rounded(G.deltas(long, "retrieval_kind", "dense").select("retrieval_kind", "metric", "value", "delta"))
 
 
+def ablation_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """Within each kind of retrieval, change of every budget from the smallest: what more context gives, all else equal."""
+    t = _ok(_traces(spark, d)).where("retrieval_kind IS NOT NULL AND top_k IS NOT NULL").select(*KEY, "retrieval_kind", "top_k")
+    m = t.join(retrieval_metrics(spark, d), KEY)
+    long = materialise(G.summarise(m, ["retrieval_kind", "top_k"], ["recall_at_5", "recall_at_10", "mrr", "precision_at_5"]))
+    least = long.groupBy("retrieval_kind").agg(F.min("top_k").alias("base_k"))
+    base = long.join(least, "retrieval_kind").where("top_k = base_k").select("retrieval_kind", "metric", "base_k", F.col("mean").alias("base"))
+    both = long.join(base, ["retrieval_kind", "metric"])
+    return rounded(both.select("retrieval_kind", "metric", "base_k", "top_k", "n", F.col("mean").alias("value"), (F.col("mean") - F.col("base")).alias("delta")))
+
+
 # --- failures ---
 
 
@@ -353,10 +406,12 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     facts = A.numeric_facts(t.select(*KEY, "answer"), _facts(spark, d))
     claims = _spans(spark, d).where("case_id IS NOT NULL AND NOT coalesce(authoritative, false)").select("case_id", F.col("quote").alias("claim"))
     forb = A.forbidden_claims(t.select(*KEY, "answer"), claims)
-    fab = _bound_labels(t, retrieved).select(*KEY, (F.col("n_citations") - F.col("n_resolved")).alias("n_fabricated"))
+    own = materialise(A.claims(t))
+    bound = A.bind_citations(own, t.select(*KEY, F.explode("context_labels").alias("label", "chunk_id")), retrieved)
+    cited = A.citation_metrics(t.select(*KEY), own, materialise(bound), want).select(*KEY, "n_fabricated", "claim_citation_coverage")
     m = A.retrieval_metrics(t.select(*KEY), _spans(spark, d), retrieved, ks=(5,)).select(*KEY, "recall_at_5")
-    out = t.select(*KEY, "category", "answerable", "errors", F.lit(None).cast("double").alias("claim_citation_coverage"))
-    for part in (light, facts, forb, fab, m, met, any_):
+    out = t.select(*KEY, "category", "answerable", "errors")
+    for part in (light, facts, forb, cited, m, met, any_):
         out = out.join(part, KEY, "left")
     return X.classify(out.join(exp, "case_id", "left"))
 
@@ -394,6 +449,49 @@ def validate_split_stratified(spark: SparkSession, d: str) -> DataFrame:
     return cases.groupBy("category").agg(F.count("*").alias("n_cases"), *[F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}") for s in ("train", "dev", "test")])
 
 
+def validate_case_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Cases as their last trace row has them against the rules of a case, by rule and category."""
+    last = M.latest(_traces(spark, d), ["case_id"], [F.col("ingested_at").desc_nulls_last(), F.col("run_id").desc_nulls_last()])
+    per_case = _spans(spark, d).where("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_documents"))
+    named = last.select("case_id", "category", F.col("query").alias("question"), "answerable", "expected_behaviour", "split", F.when(F.col("answerable"), F.col("answer")).alias("reference_answer"), F.when(~F.col("answerable"), F.col("dataset_id")).alias("gap_id"))
+    formed = named.join(per_case, "case_id", "left").fillna({"n_spans": 0, "n_documents": 0})
+    return V.case_schema(formed).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def validate_distribution(spark: SparkSession, d: str) -> DataFrame:
+    cases = _traces(spark, d).where("split IS NOT NULL AND case_id IS NOT NULL").select("case_id", "category", "split").distinct()
+    return V.distribution(cases, V.LEAST_CASES)
+
+
+def validate_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that evidence and citations name and no table declares, by kind: documents as facts, chunks as chains."""
+    ids = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    used = lambda kind, df, c: df.select("case_id", F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    named = used("fact", _spans(spark, d), "doc_id").unionByName(used("chain", M.citations(table(spark, d, "citations")), "chunk_id"))
+    declared = ids("fact", table(spark, d, "corpus_docs"), "doc_id").unionByName(ids("chain", table(spark, d, "chunks"), "chunk_id"))
+    return V.undeclared(named, declared).groupBy("kind", "id").agg(F.count("*").alias("n"))
+
+
+def validate_unanswerable(spark: SparkSession, d: str) -> DataFrame:
+    """Unanswerable cases whose gap is not declared, or whose gap the corpus fills: by gap, term and document."""
+    cases = _traces(spark, d).where("case_id IS NOT NULL").select("case_id", "answerable", F.col("category").alias("gap_id")).distinct()
+    docs = M.documents(table(spark, d, "corpus_docs"))
+    return V.unanswerable(cases, docs, GAPS).groupBy("gap_id", "term", "doc_id").agg(F.count("*").alias("n_cases"))
+
+
+def validate_superseded_values(spark: SparkSession, d: str) -> DataFrame:
+    """Versions that a document or the one it supersedes should name and does not."""
+    docs = M.documents(table(spark, d, "corpus_docs"))
+    one = lambda side, doc: docs.where("supersedes IS NOT NULL").select(F.col("doc_id").alias("id"), F.lit(side).alias("side"), F.col("version").alias("value"), F.col(doc).alias("doc_id"))
+    return V.superseded_values(one("current", "doc_id").unionByName(one("previous", "supersedes")), docs)
+
+
+def validate_quote_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Citations whose quoted text is not the whole text of the chunk that they name, going by its id."""
+    c = M.citations(table(spark, d, "citations")).where("quoted_text IS NOT NULL AND chunk_id IS NOT NULL AND doc_id IS NOT NULL")
+    return c.where(T.content_id("doc_id", "quoted_text") != F.col("chunk_id")).select("citation_row_id", "chunk_id")
+
+
 def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
     """Requests (query and configuration) of each pipeline that an earlier run of any pipeline has answered."""
     t = _ok(_traces(spark, d)).where("query IS NOT NULL").select("pipeline_name", F.sha2(F.concat_ws("|", "config_hash", "query"), 256).alias("key"), "ingested_at")
@@ -426,9 +524,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieval_scorecard, bm25_idf, bm25_topk, dense_topk_exact, dense_label_precision, embedding_norms, rrf_fusion, dedup_greedy, context_pack, span_coverage, retrieval_metrics, ndcg_at_10, document_recall, budget_metrics,
-        abstention_detect, abstention_confusion, detector_agreement, strip_labels, extract_labels, split_claims, bind_citations, bind_labels, citation_metrics, recorded_citations, citation_quotes, fact_coverage, forbidden_claims, case_scores,
-        metric_summary, per_category_rollup, latency_order_stats, token_totals, run_summary, paired_comparison, paired_bootstrap_exact, paired_bootstrap_poisson, ablation_grid, ablation_deltas, taxonomy_classify, taxonomy_counts,
-        validate_case_documents, validate_unknown_chunks, validate_duplicates, validate_split_stratified, cache_hit_miss, judged_precision, score_ranges, event_windows,
+        abstention_detect, abstention_confusion, detector_agreement, strip_labels, extract_labels, split_claims, bind_citations, bind_labels, citation_metrics, recorded_citations, citation_quotes, fact_coverage, required_facts, forbidden_claims, case_scores,
+        metric_summary, metric_summary_all, per_category_rollup, latency_order_stats, token_totals, run_summary, paired_comparison, paired_bootstrap_exact, paired_bootstrap_poisson, ablation_grid, ablation_deltas, ablation_budgets, taxonomy_classify, taxonomy_counts,
+        validate_case_documents, validate_unknown_chunks, validate_duplicates, validate_split_stratified, validate_case_schema, validate_distribution, validate_undeclared, validate_unanswerable, validate_superseded_values, validate_quote_ids, cache_hit_miss, judged_precision, score_ranges, event_windows,
     )
 }
-from .evaluation_sql import ORACLES  # noqa: E402, F401
+from .evaluation_sql import GAPS, ORACLES  # noqa: E402, F401

@@ -5,7 +5,8 @@ from __future__ import annotations
 from ..functions import text as T
 from ..operators import model as M
 from ..operators import taxonomy as X
-from .corpus import WS, tokens_sql
+from ..operators import validate as V
+from .corpus import WS, tokens_sql, words_sql
 
 W = M.with_
 CITE = T.CITATION
@@ -87,16 +88,62 @@ n >= 3 AND NOT (lo <= 0 AND hi >= 0) AS ci_excludes_zero, CASE WHEN n < 3 THEN '
 FROM tt JOIN en USING (metric)"""
 
 
+_ABBREVIATED = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+_BULLETED = rf"^{WS}*(?:[-*•]|\d+[.)]){WS}+"
+_MARKED = rf"regexp_replace(regexp_replace(line, '\b({_ABBREVIATED})({WS}+)([A-Z0-9$])', '\1' || chr(2) || '\2\3', 'g'), '([.!?])({WS}+)([A-Z0-9$])', '\1' || chr(1) || '\2\3', 'g')"
+
+
+def claims_sql(src: str) -> str:
+    """CTEs up to cm(run_id, case_id, claim_id, text, char_start, char_end, labels), the claims of the answers in *src*.
+    Gaps between sentences are marked, those behind abbreviations left out; blanks go to the sentence behind and are trimmed."""
+    return f"""ln AS (SELECT run_id, case_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT run_id, case_id, string_split(answer, chr(10)) AS ls FROM {src} WHERE answer IS NOT NULL)),
+lb AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY run_id, case_id ORDER BY i) - length(line) - 1 AS base FROM ln),
+pc AS (SELECT run_id, case_id, i, base, generate_subscripts(ps, 1) AS j, unnest(ps) AS p FROM
+  (SELECT *, list_transform(string_split(CASE WHEN regexp_matches(line, '{_BULLETED}') THEN line ELSE {_MARKED} END, chr(1)), lambda x: replace(x, chr(2), '')) AS ps FROM lb)),
+po AS (SELECT *, base + sum(length(p)) OVER (PARTITION BY run_id, case_id, i ORDER BY j) - length(p) AS at_, regexp_replace(p, '^{WS}+|{WS}+$', '', 'g') AS text, length(p) - length(regexp_replace(p, '^{WS}+', '')) AS lead_ FROM pc),
+cm AS (SELECT run_id, case_id, 'cl' || (row_number() OVER (PARTITION BY run_id, case_id ORDER BY i, j) - 1) AS claim_id, text, (at_ + lead_)::INTEGER AS char_start, (at_ + lead_ + length(text))::INTEGER AS char_end, {labels_sql("text")} AS labels
+  FROM po WHERE text <> '')"""
+
+
+PLACED = "pl AS (SELECT run_id, case_id, chunk_id, max_by(doc_id, rank) AS doc_id, max_by(char_start, rank) AS source_char_start, max_by(char_end, rank) AS source_char_end FROM re WHERE chunk_id IS NOT NULL GROUP BY ALL)"
+SHOWN = "sh AS (SELECT run_id, case_id, e.key AS label, e.value AS chunk_id FROM (SELECT run_id, case_id, unnest(map_entries(context_labels)) AS e FROM tr))"
+CITES = f"""{PLACED}, {SHOWN}, kn AS (SELECT * FROM sh JOIN pl USING (run_id, case_id, chunk_id)),
+cs AS (SELECT c.run_id, c.case_id, c.claim_id, (c.pos - 1)::INTEGER AS pos, c.label, kn.chunk_id, kn.doc_id, source_char_start, source_char_end, kn.chunk_id IS NOT NULL AS resolved
+  FROM (SELECT run_id, case_id, claim_id, generate_subscripts(labels, 1) AS pos, unnest(labels) AS label FROM cm) c LEFT JOIN kn USING (run_id, case_id, label))"""
+
+
+def cited_sql(cases: str) -> str:
+    """CTE cx: the citation metrics of every row of *cases*; needs ex, cm and cs."""
+    return f"""ck AS (SELECT cs.*, ex.doc_id IS NOT NULL AS hit FROM cs LEFT JOIN ex ON ex.case_id = cs.case_id AND ex.doc_id = cs.doc_id),
+cp AS (SELECT run_id, case_id, count(*) AS n, count(*) FILTER (resolved) AS r, count(*) FILTER (resolved AND hit) AS h, count(DISTINCT doc_id) FILTER (resolved) AS d FROM ck GROUP BY ALL),
+cv AS (SELECT run_id, case_id, count(*) FILTER (claim_id IN (SELECT claim_id FROM cs WHERE cs.run_id = cm.run_id AND cs.case_id = cm.case_id))::DOUBLE / count(*) AS cover FROM cm WHERE {words_sql("text")} >= 4 GROUP BY ALL),
+cn AS (SELECT run_id, case_id, count(*) AS n_claims FROM cm GROUP BY ALL),
+cx AS (SELECT {cases}.run_id, {cases}.case_id, coalesce(n, 0) AS n_citations, coalesce(r, 0) AS n_resolved, coalesce(n, 0) - coalesce(r, 0) AS n_fabricated, CASE WHEN n > 0 THEN r::DOUBLE / n END AS citation_validity,
+  CASE WHEN r > 0 AND EXISTS (SELECT 1 FROM ex WHERE ex.case_id = {cases}.case_id) THEN h::DOUBLE / r END AS citation_precision_doc, cover AS claim_citation_coverage, coalesce(d, 0) AS distinct_docs_cited, coalesce(n_claims, 0) AS n_claims
+  FROM {cases} LEFT JOIN cp USING (run_id, case_id) LEFT JOIN cv USING (run_id, case_id) LEFT JOIN cn USING (run_id, case_id))"""
+
+
+_CX = ", ".join(f"round({c}, 6) AS {c}" for c in ("citation_validity", "citation_precision_doc", "claim_citation_coverage"))
+_CITED = f"n_citations, n_resolved, n_fabricated, {_CX}, distinct_docs_cited, n_claims"
+_KS = (1, 3, 5, 10)
+_RANKED = ", ".join([*(f"recall_at_{k}" for k in _KS), *(f"precision_at_{k}" for k in _KS), "mrr"])
+SCORED = f"""{W("tr", "re", "sp")}, {hits()}, {metrics("tr")}, {BEHAVED}, {EXPECTED}, {FACTS}, {COVER}, {FORBIDDEN}, {claims_sql("tr")}, {CITES}, {cited_sql("tr")},
+dq AS (SELECT run_id, case_id, count(seen)::DOUBLE / count(doc_id) AS document_recall FROM tr JOIN ex USING (case_id) LEFT JOIN (SELECT DISTINCT run_id, case_id, doc_id, 1 AS seen FROM re) USING (run_id, case_id, doc_id) GROUP BY ALL),
+ws AS (SELECT tr.run_id, tr.case_id, tr.category, tr.answerable, {_RANKED}, round(document_recall, 6) AS document_recall, round(required_fact_coverage, 6) AS required_fact_coverage, coalesce(fb.n, 0) AS forbidden_claims,
+  expected AS abstention_expected, observed AS abstention_observed, observed = expected AS abstention_correct, {_CITED}
+  FROM tr LEFT JOIN me USING (run_id, case_id) LEFT JOIN dq USING (run_id, case_id) LEFT JOIN co USING (run_id, case_id) LEFT JOIN fb USING (run_id, case_id) LEFT JOIN be USING (run_id, case_id) LEFT JOIN cx USING (run_id, case_id))"""
+_ALL = ["recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "precision_at_5", "mrr", "document_recall", "required_fact_coverage", "forbidden_claims", "abstention_correct", "citation_validity", "citation_precision_doc", "claim_citation_coverage", "distinct_docs_cited"]
+
 _HOPS = ", ".join(f"'{x}'" for x in X.SEVERAL_HOPS)
-CLASSIFIED = f"""{W("tr", "re", "sp")}, {hits()}, {metrics("tr", ks=(5,))}, {BEHAVED}, {EXPECTED}, {FACTS}, {COVER}, {FORBIDDEN}, {BOUND},
+CLASSIFIED = f"""{W("tr", "re", "sp")}, {hits()}, {metrics("tr", ks=(5,))}, {BEHAVED}, {EXPECTED}, {FACTS}, {COVER}, {FORBIDDEN}, {claims_sql("tr")}, {CITES}, {cited_sql("tr")},
 w AS (SELECT run_id, case_id, category, answerable, coalesce(len(errors) > 0, false) AS bad, recall_at_5 AS r, expected, observed, coalesce(expected IS DISTINCT FROM observed, false) AS wrong, observed = expected AS correct,
-  required_fact_coverage AS cover, coalesce(fb.n, 0) > 0 AS forb, coalesce(n_citations - n_resolved > 0, false) AS fab,
+  required_fact_coverage AS cover, coalesce(fb.n, 0) > 0 AS forb, coalesce(n_fabricated > 0, false) AS fab, coalesce(claim_citation_coverage < 0.5, false) AS uncited,
   EXISTS (SELECT 1 FROM ex WHERE ex.case_id = tr.case_id) AS expects, EXISTS (SELECT 1 FROM re r JOIN ex USING (case_id, doc_id) WHERE r.run_id = tr.run_id AND r.case_id = tr.case_id) AS met, EXISTS (SELECT 1 FROM re r WHERE r.run_id = tr.run_id AND r.case_id = tr.case_id) AS retrieved_any
-  FROM tr LEFT JOIN me USING (run_id, case_id) LEFT JOIN be USING (run_id, case_id) LEFT JOIN co USING (run_id, case_id) LEFT JOIN fb USING (run_id, case_id) LEFT JOIN bl USING (run_id, case_id)),
+  FROM tr LEFT JOIN me USING (run_id, case_id) LEFT JOIN be USING (run_id, case_id) LEFT JOIN co USING (run_id, case_id) LEFT JOIN fb USING (run_id, case_id) LEFT JOIN cx USING (run_id, case_id)),
 f AS (SELECT *, bad OR coalesce(NOT correct, false) OR (coalesce(answerable, false) AND (coalesce(cover < 0.999, false) OR coalesce(r < 1, false) OR fab OR forb)) AS failed FROM w),
 cl AS (SELECT *, CASE WHEN NOT failed THEN NULL WHEN bad THEN 'pipeline_error' WHEN r <= 0 THEN 'retrieval_miss' WHEN r > 0 AND r < 1 AND category IN ({_HOPS}) THEN 'retrieval_partial_multihop' WHEN r > 0 AND r < 1 THEN 'evidence_ranked_low'
   WHEN wrong AND expected = 'abstain' THEN 'failed_abstention' WHEN wrong AND expected = 'clarify' THEN 'ambiguity_collapse' WHEN wrong AND expected = 'answer' AND observed = 'abstain' THEN 'over_abstention'
-  WHEN category = 'temporal' AND forb THEN 'policy_version_confusion' WHEN fab THEN 'citation_unresolvable' WHEN forb THEN 'unsupported_claim' WHEN cover < 1 AND category = 'aggregation' THEN 'aggregation_error' WHEN cover < 1 THEN 'incomplete_answer' ELSE 'format_violation' END AS primary_class FROM f)"""
+  WHEN category = 'temporal' AND forb THEN 'policy_version_confusion' WHEN fab THEN 'citation_unresolvable' WHEN forb THEN 'unsupported_claim' WHEN cover < 1 AND category = 'aggregation' THEN 'aggregation_error' WHEN cover < 1 THEN 'incomplete_answer' WHEN uncited THEN 'citation_missing' ELSE 'format_violation' END AS primary_class FROM f)"""
 
 _SCORES = ("dense_score", "lexical_score", "rrf_score", "rerank_score")
 _RANGES = ", ".join(f"count({c}) FILTER (NOT isnan({c})) AS n_{c}, round(min({c}) FILTER (NOT isnan({c})), 6) AS min_{c}, round(max({c}) FILTER (NOT isnan({c})), 6) AS max_{c}" for c in _SCORES)
@@ -108,7 +155,7 @@ ca AS (SELECT 'bm25' AS run_id, query_id AS case_id FROM q), rk AS (SELECT 'bm25
     "bm25_idf": f"{W('ch')}, {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, n",
     "bm25_topk": f"{W('ch')}, {QUERY_SET}, {POSTINGS}, {BM25} SELECT query_id, item_id, round(score, 6) AS score, rank FROM tp",
     "dense_topk_exact": "SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id)::INTEGER AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10",
-    "dense_label_precision": "WITH t AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, q.label AS want, e.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10) SELECT want AS label, count(*) AS n, round(avg((want = got)::INT), 6) AS precision FROM t WHERE query_id <> item_id GROUP BY want",
+    "dense_label_precision": "WITH t AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, q.label AS want, e.label AS got, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY rank <= 11), o AS (SELECT * FROM t WHERE query_id <> item_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10) SELECT want AS label, count(*) AS n, round(avg((want = got)::INT), 6) AS precision FROM o GROUP BY want",
     "embedding_norms": "SELECT label, count(*) AS n, round(avg(CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS mean_norm FROM embeddings GROUP BY label",
     "rrf_fusion": f"""{W("tr", "re")}, hy AS (SELECT run_id, case_id FROM tr WHERE retrieval_kind = 'hybrid_rrf'),
 r AS (SELECT run_id, case_id, chunk_id, {_FINE.format(c="dense_score")} AS dense, {_FINE.format(c="lexical_score")} AS lexical FROM re JOIN hy USING (run_id, case_id) WHERE chunk_id IS NOT NULL),
@@ -147,17 +194,78 @@ m AS (SELECT pipeline_name, round(avg(latency_ms), 6) AS mean_ms, round(avg(cach
     "run_summary": f"{W('tr')} SELECT run_id, pipeline_name, count(*) AS n_cases, count(*) FILTER (coalesce(len(errors), 0) > 0) AS n_errors, count(DISTINCT category) AS n_categories, min(top_k) AS top_k, count(*) FILTER (len(unresolved_labels) > 0) AS n_with_unresolved FROM tr GROUP BY ALL",
     "paired_comparison": f"{PAIRS} SELECT metric, category, count(*) AS n, round(avg(baseline), 6) AS baseline, round(avg(improved), 6) AS improved, round(avg(improved - baseline), 6) AS delta FROM pa GROUP BY ALL",
     "paired_bootstrap_poisson": poisson_sql(),
-    "ablation_grid": f"{ALL} SELECT retrieval_kind, top_k, count(*) AS n, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr, round(avg(precision_at_5), 6) AS precision_at_5, round(max(latency_ms), 6) AS max_latency_ms FROM ok JOIN me USING (run_id, case_id) GROUP BY ALL",
+    "ablation_grid": f"""{ALL}, j AS (SELECT * FROM ok JOIN me USING (run_id, case_id)),
+l AS (SELECT retrieval_kind, top_k, latency_ms, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY retrieval_kind, top_k) AS n FROM j WHERE latency_ms IS NOT NULL WINDOW w AS (PARTITION BY retrieval_kind, top_k ORDER BY latency_ms)),
+m AS (SELECT retrieval_kind, top_k, round(avg(latency_ms) FILTER (i IN ((n - 1) // 2, n // 2)), 6) AS median_latency_ms FROM l GROUP BY ALL),
+g AS (SELECT retrieval_kind, top_k, count(*) AS n, round(avg(recall_at_1), 6) AS recall_at_1, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(mrr), 6) AS mrr, round(avg(precision_at_5), 6) AS precision_at_5,
+  round(avg(latency_ms), 6) AS mean_latency_ms, round(max(latency_ms), 6) AS max_latency_ms FROM j GROUP BY ALL)
+SELECT g.*, median_latency_ms, concat_ws(' k=', g.retrieval_kind, g.top_k::VARCHAR) AS variant FROM g LEFT JOIN m ON g.retrieval_kind IS NOT DISTINCT FROM m.retrieval_kind AND g.top_k IS NOT DISTINCT FROM m.top_k""",
+    "ablation_budgets": f"""{ALL}, v AS (SELECT retrieval_kind, top_k, metric, count(value) AS n, avg(value) AS value FROM (SELECT retrieval_kind, top_k, unnest(['recall_at_5', 'recall_at_10', 'mrr', 'precision_at_5']) AS metric, unnest([recall_at_5, recall_at_10, mrr, precision_at_5]) AS value
+  FROM ok JOIN me USING (run_id, case_id) WHERE retrieval_kind IS NOT NULL AND top_k IS NOT NULL) GROUP BY ALL), b AS (SELECT *, min(top_k) OVER (PARTITION BY retrieval_kind) AS base_k FROM v)
+SELECT x.retrieval_kind, x.metric, x.base_k, x.top_k, x.n, round(x.value, 6) AS value, round(x.value - y.value, 6) AS delta FROM b x JOIN b y ON x.retrieval_kind = y.retrieval_kind AND x.metric = y.metric AND y.top_k = y.base_k""",
     "ablation_deltas": f"""{ALL}, v AS (SELECT retrieval_kind, metric, avg(value) AS value FROM (SELECT retrieval_kind, unnest(['recall_at_5', 'mrr', 'precision_at_5']) AS metric, unnest([recall_at_5, mrr, precision_at_5]) AS value FROM ok JOIN me USING (run_id, case_id)) GROUP BY ALL)
 SELECT a.retrieval_kind, a.metric, round(a.value, 6) AS value, round(a.value - b.value, 6) AS delta FROM v a LEFT JOIN v b ON a.metric = b.metric AND b.retrieval_kind = 'dense'""",
-    "taxonomy_classify": f"{CLASSIFIED} SELECT run_id, case_id, category, failed, primary_class AS \"primary\", CASE WHEN primary_class = 'retrieval_miss' AND expects AND NOT met AND retrieved_any THEN 'retrieval_distractor' ELSE '' END AS secondary FROM cl",
+    "taxonomy_classify": f"{CLASSIFIED} SELECT run_id, case_id, category, failed, primary_class AS \"primary\", CASE WHEN primary_class = 'retrieval_miss' AND expects AND NOT met AND retrieved_any THEN 'retrieval_distractor' WHEN primary_class IN ('unsupported_claim', 'aggregation_error', 'incomplete_answer', 'format_violation') AND uncited THEN 'citation_missing' ELSE '' END AS secondary FROM cl",
     "taxonomy_counts": f"{CLASSIFIED} SELECT class, count(primary_class) AS n FROM (SELECT unnest({X.CLASSES!r}) AS class) LEFT JOIN cl ON class = primary_class AND failed GROUP BY class",
     "validate_case_documents": f"{W('sp')} SELECT doc_id, count(*) AS n_spans FROM sp WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM corpus_docs WHERE doc_id IS NOT NULL) GROUP BY doc_id",
     "validate_unknown_chunks": f"{W('re')} SELECT chunk_id, count(*) AS n FROM re WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY chunk_id",
     "validate_duplicates": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_keys, coalesce(sum(n), 0)::BIGINT AS n_rows FROM (SELECT count(*) AS n FROM {t} GROUP BY {k} HAVING count(*) > 1)" for t, k in (("traces", "run_id, case_id"), ("retrieved", "run_id, case_id, rank"), ("citations", "citation_row_id"), ("evidence_spans", "span_row_id"))),
     "validate_split_stratified": f"{W('tr')} SELECT category, count(*) AS n_cases, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'dev') AS n_dev, count(*) FILTER (split = 'test') AS n_test FROM (SELECT DISTINCT case_id, category, split FROM tr WHERE split IS NOT NULL) GROUP BY category",
+    "split_claims": f"{W('tr')}, {claims_sql('tr')} SELECT run_id, case_id, claim_id, text, char_start, char_end, array_to_string(labels, ' ') AS cited_labels FROM cm",
+    "bind_citations": f"{W('tr', 're', 'do')}, {claims_sql('tr')}, {CITES} SELECT cs.*, left(substring(body, source_char_start + 1, source_char_end - source_char_start), 400) AS quoted_text FROM cs LEFT JOIN (SELECT doc_id, body FROM d) USING (doc_id)",
+    "citation_metrics": f"{W('tr', 're', 'sp')}, {OK}, {EXPECTED}, {claims_sql('ok')}, {CITES}, {cited_sql('ok')} SELECT run_id, case_id, {_CITED} FROM cx",
+    "case_scores": f"{SCORED} SELECT * FROM ws",
+    "metric_summary_all": f"{SCORED}, {OK} SELECT pipeline_name, metric, count(value) AS n, round(avg(value), 6) AS mean FROM (SELECT pipeline_name, unnest({_ALL!r}) AS metric, unnest([{', '.join(f'{c}::DOUBLE' if c != 'abstention_correct' else f'{c}::INT::DOUBLE' for c in _ALL)}]) AS value FROM ws JOIN (SELECT run_id, case_id, pipeline_name FROM ok) USING (run_id, case_id)) GROUP BY ALL",
+    "required_facts": f"""{W("tr")}, {OK}, a AS (SELECT run_id, case_id, coalesce(answer, '') AS x, {numbers_sql("coalesce(answer, '')")} AS ns FROM ok),
+h AS (SELECT run_id, case_id, [contains(lower(x), 'subscription'), contains(x, 'Record'), len(list_filter(ns, lambda v: abs(v - 30) <= 5)) > 0, regexp_matches(x, '(?i)[0-9]+ (?:minutes|hours|days)'),
+  contains(lower(x), 'export') OR contains(lower(x), 'import'), contains(lower(x), 'the') AND NOT regexp_matches(x, '[Nn]ot')] AS hs FROM a)
+SELECT run_id, case_id, round(list_sum(list_transform(hs, lambda y, i: y::INT * [1.0, 0.5, 2.0, 1.0, 1.0, 1.0][i])) / 6.5, 6)::DOUBLE AS required_fact_coverage, array_to_string(list_transform(hs, lambda y: y::INT), '') AS held FROM h""",
+    "ndcg_at_10": f"""{W("tr", "re", "sp")}, {OK}, {hits()}, h AS MATERIALIZED (SELECT run_id, case_id, rank, span_id, row_number() OVER (PARTITION BY run_id, case_id ORDER BY rank, -coverage, span_id) AS i FROM hi WHERE rank <= 10),
+go AS (SELECT run_id, case_id, 0::BIGINT AS i, []::BIGINT[] AS ranks, []::BIGINT[] AS spans FROM (SELECT DISTINCT run_id, case_id FROM h) UNION ALL
+  SELECT go.run_id, go.case_id, h.i, CASE WHEN used THEN ranks ELSE list_append(ranks, rank::BIGINT) END, CASE WHEN used THEN spans ELSE list_append(spans, span_id::BIGINT) END
+  FROM go JOIN (SELECT * FROM h) h ON h.run_id = go.run_id AND h.case_id = go.case_id AND h.i = go.i + 1, LATERAL (SELECT list_contains(ranks, rank::BIGINT) OR list_contains(spans, span_id::BIGINT) AS used)),
+dg AS (SELECT run_id, case_id, list_sum(list_transform(max_by(ranks, i), lambda r: 1.0::DOUBLE / log2(r + 1))) AS dcg FROM go GROUP BY ALL),
+ns AS (SELECT case_id, count(*) AS n FROM sp WHERE char_start >= 0 GROUP BY case_id)
+SELECT run_id, case_id, round(CASE WHEN n IS NOT NULL THEN coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1.0::DOUBLE / log2(r + 1))) END, 6) AS ndcg FROM ok LEFT JOIN ns USING (case_id) LEFT JOIN dg USING (run_id, case_id)""".replace("WITH tr AS", "WITH RECURSIVE tr AS", 1),
+    "dedup_greedy": f"""{W("re", "ch")}, tx AS (SELECT chunk_id, list_distinct({tokens_sql("text")}) AS ts FROM ch),
+x AS MATERIALIZED (SELECT run_id, case_id, rank, chunk_id, ts, row_number() OVER (PARTITION BY run_id, case_id ORDER BY rank, chunk_id) AS i FROM re JOIN tx USING (chunk_id)),
+rp AS MATERIALIZED (SELECT a.run_id, a.case_id, a.i AS i, b.i AS j FROM x a JOIN x b ON a.run_id = b.run_id AND a.case_id = b.case_id AND b.i < a.i WHERE len(list_intersect(a.ts, b.ts)) >= 0.8 * least(len(a.ts), len(b.ts))),
+go AS (SELECT run_id, case_id, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT run_id, case_id FROM x) UNION ALL
+  SELECT go.run_id, go.case_id, y.i, CASE WHEN len(y.ts) = 0 OR EXISTS (SELECT 1 FROM rp WHERE rp.run_id = go.run_id AND rp.case_id = go.case_id AND rp.i = y.i AND list_contains(go.kept, rp.j)) THEN kept ELSE list_append(kept, y.i) END
+  FROM go JOIN x y ON y.run_id = go.run_id AND y.case_id = go.case_id AND y.i = go.i + 1),
+kp AS (SELECT run_id, case_id, unnest(k) AS i, generate_subscripts(k, 1)::INTEGER AS rank FROM (SELECT run_id, case_id, max_by(kept, i) AS k FROM go GROUP BY ALL))
+SELECT run_id, case_id, x.chunk_id, kp.rank, x.rank AS rank_before FROM kp JOIN x USING (run_id, case_id, i)""".replace("WITH re AS", "WITH RECURSIVE re AS", 1),
+    "validate_case_schema": f"""{W("tr", "sp")}, la AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ingested_at DESC NULLS LAST, run_id DESC NULLS LAST) = 1),
+c AS (SELECT la.*, coalesce(n_spans, 0) AS ns, coalesce(n_documents, 0) AS nd FROM la LEFT JOIN (SELECT case_id, count(*) AS n_spans, count(DISTINCT doc_id) AS n_documents FROM sp WHERE case_id IS NOT NULL GROUP BY 1) USING (case_id)),
+r AS (SELECT unnest(['id', 'category', 'question', 'expected_behaviour', 'split', 'answerable: reference answer', 'answerable: evidence', 'unanswerable: gap', 'unanswerable: no reference answer', 'unanswerable: abstain', 'multi_hop: two documents', 'ambiguous: clarify']) AS problem,
+  unnest([NOT regexp_matches(case_id, '{V.CASE_ID}'), category NOT IN ({", ".join(f"'{x}'" for x in V.CATEGORIES)}), length(trim(query, ' ')) < 1, expected_behaviour NOT IN ('answer', 'abstain', 'clarify'), split NOT IN ('dev', 'test'),
+  answerable AND (CASE WHEN answerable THEN answer END) IS NULL, answerable AND (nd < 1 OR ns < 1), NOT answerable AND (CASE WHEN NOT answerable THEN dataset_id END) IS NULL, NOT answerable AND (CASE WHEN answerable THEN answer END) IS NOT NULL,
+  NOT answerable AND expected_behaviour <> 'abstain', category = 'multi_hop' AND nd < 2, category = 'ambiguous' AND expected_behaviour <> 'clarify']) AS bad FROM c)
+SELECT problem, count(*) AS n FROM r WHERE coalesce(bad, true) GROUP BY problem""",
+    "validate_distribution": f"""{W("tr")}, ca AS (SELECT DISTINCT case_id, category, split FROM tr WHERE split IS NOT NULL AND case_id IS NOT NULL),
+pe AS (SELECT category, count(*) AS n, count(DISTINCT split) AS n_splits FROM ca GROUP BY 1), le AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in V.LEAST_CASES.items())}) v(category, least)),
+o AS (SELECT category, coalesce(n, 0) AS n, coalesce(n_splits, 0) AS n_splits, coalesce(least, 0) AS least FROM pe FULL JOIN le USING (category))
+SELECT * FROM (SELECT category, n, n_splits, CASE WHEN n < least THEN 'too few' WHEN n_splits < 2 AND n > 1 THEN 'one split' END AS problem FROM o
+UNION ALL SELECT '*', count(*), count(DISTINCT split), CASE WHEN count(*) < {V.LEAST_TOTAL} THEN 'too few' END FROM ca) WHERE problem IS NOT NULL""",
+    "validate_undeclared": f"""{W("sp", "ci")} SELECT 'fact' AS kind, doc_id AS id, count(*) AS n FROM sp WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM corpus_docs WHERE doc_id IS NOT NULL) GROUP BY 2
+UNION ALL SELECT 'chain', chunk_id, count(*) FROM ci WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY 2""",
+    "validate_unanswerable": f"""{W("tr", "do")}, ca AS (SELECT DISTINCT case_id, category AS gap_id FROM tr WHERE case_id IS NOT NULL AND NOT answerable),
+tm AS (SELECT * FROM (VALUES {{terms}}) v(gap_id, term)), hi AS (SELECT gap_id, term, doc_id FROM d JOIN tm ON contains(lower(body), lower(term)))
+SELECT gap_id, NULL::VARCHAR AS term, NULL::VARCHAR AS doc_id, count(*) AS n_cases FROM ca WHERE gap_id IS NULL OR gap_id NOT IN (SELECT gap_id FROM tm) GROUP BY 1 UNION ALL SELECT gap_id, term, doc_id, count(*) FROM ca JOIN hi USING (gap_id) GROUP BY ALL""",
+    "validate_superseded_values": f"""{W("do")}, o AS (SELECT doc_id AS id, 'current' AS side, version AS value, doc_id FROM d WHERE supersedes IS NOT NULL UNION ALL SELECT doc_id, 'previous', version, supersedes FROM d WHERE supersedes IS NOT NULL)
+SELECT * FROM (SELECT o.id, o.side, o.doc_id, CASE WHEN b.doc_id IS NULL THEN 'no document' WHEN NOT contains({{plain_body}}, {{plain_value}}) THEN 'no value' END AS problem FROM o LEFT JOIN d b ON b.doc_id = o.doc_id) WHERE problem IS NOT NULL""",
+    "validate_quote_ids": f"{W('ci')} SELECT citation_row_id, chunk_id FROM ci WHERE quoted_text IS NOT NULL AND chunk_id IS NOT NULL AND doc_id || '#' || substring(sha1(quoted_text), 1, 8) <> chunk_id",
     "cache_hit_miss": f"{W('tr')}, {OK}, k AS (SELECT pipeline_name, config_hash || '|' || query AS key, ingested_at FROM ok WHERE query IS NOT NULL), f AS (SELECT key, min(ingested_at) AS first FROM k GROUP BY key) SELECT pipeline_name, count(*) AS n, count(*) FILTER (ingested_at > first) AS n_hits FROM k JOIN f USING (key) GROUP BY pipeline_name",
     "judged_precision": f"{W('tr', 're')} SELECT retrieval_kind, count(*) AS n, round(avg(grade), 6) AS mean_grade, round(avg((grade >= 2)::INT), 6) AS share_relevant FROM re JOIN judgments USING (case_id, chunk_id) JOIN tr USING (run_id, case_id) WHERE rank <= 5 GROUP BY retrieval_kind",
     "score_ranges": f"{W('re')} SELECT run_id, {_RANGES} FROM re GROUP BY run_id",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
 }
+
+
+def _plain(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '[*_`|]', ' ', 'g'), '{WS}+', ' ', 'g'))"
+
+
+GAPS = {"unanswerable": ["withholding", "biometric", "Chargeback ledger"], "ambiguous": ["voice print", "the retry"]}
+ORACLES["validate_unanswerable"] = ORACLES["validate_unanswerable"].format(terms=", ".join(f"('{g}', '{t}')" for g, ts in GAPS.items() for t in ts))
+ORACLES["validate_superseded_values"] = ORACLES["validate_superseded_values"].format(plain_body=_plain("coalesce(b.body, '')"), plain_value=_plain("o.value"))

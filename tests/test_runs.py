@@ -212,14 +212,33 @@ def test_ledger_checks(spark, world, tmp_path):
     bad = V.case_schema(spark.createDataFrame(rows, "case_id string, category string, question string, answerable boolean, reference_answer string, expected_behaviour string, split string, n_documents int, n_spans int, gap_id string")).collect()
     assert {r.case_id for r in bad} == {"X1", "M-02"} and sum(r.case_id == "X1" for r in bad) == 7
     few = V.distribution(tables["cases"], {"factual": 2}, 3).collect()
-    assert {(r.category, r.problem) for r in few} == {("factual", "too few"), ("multi_hop", "one split"), ("unanswerable", "one split")}
+    assert {(r.category, r.problem) for r in few} == {("factual", "too few")} | {(r.category, "one split") for r in tables["cases"].groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("split").alias("s")).where("n > 1 AND s < 2 AND category <> 'factual'").collect()}
+    assert ("temporal", 0, 0, "too few") in {tuple(r) for r in V.distribution(tables["cases"], V.LEAST_CASES).collect()}
+
+
+def test_planted_violations_are_found(spark, world, tmp_path):
+    _, docs, _ = world
+    old = [("price", "current", "47 **coins**", "prices"), ("price", "previous", "no such value", "prices"), ("gone", "current", "1", "nowhere")]
+    got = V.superseded_values(spark.createDataFrame(old, "id string, side string, value string, doc_id string"), docs)
+    assert {tuple(r) for r in got.collect()} >= {("price", "previous", "prices", "no value"), ("gone", "current", "nowhere", "no document")}
+    cases = spark.createDataFrame([("U-01", False, "founders"), ("U-02", False, "nothing"), ("U-03", False, None), ("F-01", True, "founders"), ("U-01", False, "founders")], "case_id string, answerable boolean, gap_id string")
+    hits = {tuple(r) for r in V.unanswerable(cases, docs, {"founders": ["friDAY", "unheard of"]}).collect()}
+    assert hits == {("U-01", "founders", "friDAY", "shipping"), ("U-02", "nothing", None, None), ("U-03", None, None, None)}
+    assert len(V.unanswerable(cases, docs, {}).collect()) == 3
+    named = spark.createDataFrame([("c", "fact", "a"), ("c", "fact", "b"), ("c", "chain", "a"), ("c", "chain", None)], "case_id string, kind string, id string")
+    declared = spark.createDataFrame([("fact", "a"), ("fact", "a")], "kind string, id string")
+    assert {tuple(r) for r in V.undeclared(named, declared).collect()} == {("c", "fact", "b"), ("c", "chain", "a")}
+    spans = spark.createDataFrame([("c", "prices", "no such words"), ("c", "nowhere", "x")], "case_id string, doc_id string, quote string")
+    assert [r.doc_id for r in V.unresolved_quotes(spans, docs).collect()] == ["prices"]
 
 
 def test_command_line(spark, world, tmp_path, capsys):
     root, _, _ = world
     assert cli.main(["run", "--config", "x", "--corpus", "x", "--dataset", "x", "--responses", "x", "--final"]) == 2
     assert cli.main(["ingest", "--config", str(root / "base.yaml"), "--corpus", str(root / "corpus"), "--manifest-out", str(tmp_path / "m")]) == 0
-    assert cli.main(["validate", "--corpus", str(root / "corpus"), "--dataset", str(root / "cases.yaml")]) == 0
+    assert cli.main(["validate", "--corpus", str(root / "corpus")]) == 0
+    assert cli.main(["validate", "--corpus", str(root / "corpus"), "--dataset", str(root / "cases.yaml")]) == 1
+    assert "distribution: 8" in capsys.readouterr().out
     assert cli.main(["ledger", "--ledger", str(tmp_path / "none")]) == 0
     cfg = config.load_config(root / "base.yaml")
     responses(spark, world, cfg, ANSWERS).write.json(str(tmp_path / "answers"))
