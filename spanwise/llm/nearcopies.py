@@ -317,8 +317,9 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
     survey = materialise(_survey(src, k, sample, bands, least))
     members = survey.where("key IS NOT NULL").select("key", "cls").distinct()
     each = survey.where("key IS NULL").select("cls", "n", "m0", "m1", "buckets").dropDuplicates(["cls"])
-    rows = each.select("cls", "n", "m0", "m1", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    rows = materialise(_shared(rows, "bucket"))
+    shared = _shared(each.select("cls", F.explode(F.array_distinct("buckets")).alias("bucket")), "bucket")
+    # few buckets have two texts: only what these need is carried along
+    rows = materialise(shared.join(each.drop("buckets"), "cls"))
     small = rows.where(F.col("size") <= MOST_IN_BUCKET).drop("size")
     differ = sum(F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(2))
     alike = (F.col("cls_a") < F.col("cls_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (threshold - 1e-9)) & (differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
