@@ -16,6 +16,9 @@ from .errors import ConfigError
 IGNORED = {"evaluation": {"judge_enabled", "judge_model", "judge_temperature"}}
 
 
+# The names and defaults below are those of the published configuration: fixed values.
+
+
 @dataclass(frozen=True)
 class Part:
     kind: str

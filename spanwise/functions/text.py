@@ -131,7 +131,7 @@ def nfc(text: pd.Series) -> pd.Series:
 _GUARD = "".join(rf"(?<!\b{re.escape(a)})" for a in ABBREVIATIONS)
 _SENTENCE = re.compile(_GUARD + SENTENCE_GAP)
 _BULLET = re.compile(BULLET)
-_LABELS = re.compile(r"\[(C\d+(?:\s*,\s*C\d+)*)\]", re.I)
+_LABELS = re.compile(CITATION)
 CLAIM = ST.ArrayType(
     ST.StructType(
         [

@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from ..config import short_hash
 from ..errors import ConfigError
 
 _WORD = regex.compile(r"\b\w\w+\b")
-BLOCK = 256
+BLOCK, PARTS = 256, 64
 
 
 def terms(text: str | None) -> list[str]:
@@ -105,13 +106,16 @@ def _gram_times(texts: DataFrame, model: TfidfSvd) -> np.ndarray:
                     total[at] += np.outer(w, w @ m.basis[at])
                     some = True
         if some:
-            yield pd.DataFrame({"block": range(0, shape[0], BLOCK), "payload": [total[i : i + BLOCK].tobytes() for i in range(0, shape[0], BLOCK)]})
+            yield pd.DataFrame({"block": range(0, shape[0], BLOCK), "part": TaskContext.get().partitionId() % PARTS, "payload": [total[i : i + BLOCK].tobytes() for i in range(0, shape[0], BLOCK)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "payload": [sum(np.frombuffer(p) for p in pdf["payload"]).tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [pdf["part"].iloc[0]], "payload": [sum(np.frombuffer(p) for p in pdf["payload"]).tobytes()]})
 
     out = np.zeros(shape)
-    for r in texts.mapInPandas(part, "block int, payload binary").groupBy("block").applyInPandas(add, "block int, payload binary").collect():
+    schema = "block int, part int, payload binary"
+    # in two steps, so that no task gathers the sums of all others
+    sums = texts.mapInPandas(part, schema).groupBy("block", "part").applyInPandas(add, schema)
+    for r in sums.groupBy("block").applyInPandas(add, schema).collect():
         out[r["block"] : r["block"] + BLOCK] = np.frombuffer(bytes(r["payload"])).reshape(-1, shape[1])
     return out
 

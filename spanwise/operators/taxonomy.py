@@ -23,6 +23,7 @@ CLASSES = [
     "format_violation",
     "pipeline_error",
 ]
+#: Categories that need several places; fixed values.
 SEVERAL_HOPS = ["multi_hop", "aggregation", "citation_stress"]
 
 

@@ -55,7 +55,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def document_frequencies(spark: SparkSession, d: str) -> DataFrame:
     terms = table(spark, d, "documents").select("doc_id", F.explode_outer(F.array_distinct(T.tokenize("text"))).alias("term")).where("term IS NOT NULL")
-    return terms.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ p AS (SELECT doc_id, count(*) AS n, sum(least(char_start + 500, n) - char_start)
 SELECT lang, count(*) AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_chunks, round(sum(chars)::DOUBLE / sum(n), 6) AS mean_chars FROM s LEFT JOIN p USING (doc_id) GROUP BY lang
 """,
     "token_counts": f"SELECT doc_id, {words_sql('text')}::INTEGER AS n_words, {_TOKENS} AS n_tokens FROM documents WHERE text IS NOT NULL",
-    "document_frequencies": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents) GROUP BY term HAVING count(*) >= 2",
+    "document_frequencies": f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM documents) GROUP BY term",
     "corpus_manifest": f"{M.with_('do')} SELECT doc_id, coalesce(length(body), 0)::INTEGER AS n_chars, sha256(body) AS sha256, version, (superseded_by IS NOT NULL OR lower(status) = 'superseded') AS superseded FROM d",
     "corpus_manifest_hash": f"""
 {M.with_("do")}, p AS (SELECT substring(sha256(doc_id), 1, 3) AS b, doc_id || ':' || coalesce(sha256, '') AS p FROM d),
@@ -201,6 +201,11 @@ SELECT * FROM c WHERE NOT id_ok OR NOT place_ok
 SELECT gap_id, term, doc_id FROM g JOIN d ON regexp_matches(body, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || term || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')
 """,
     "latest_versions": f"{M.with_('do')} SELECT coalesce(owner, '?') AS owner, count(*) AS n_docs, max(effective_date) AS newest FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.supersedes = d.doc_id) GROUP BY 1",
+    "quote_places_flexible": f"""{M.with_("sp", "do")},
+q AS (SELECT span_row_id, nfc_normalize(body) AS b, nfc_normalize(quote) AS q FROM sp JOIN (SELECT doc_id, body FROM d) USING (doc_id) WHERE length(quote) > 0),
+w AS (SELECT *, list_filter(string_split_regex(q, '{WS}+'), lambda x: x <> '') AS ws FROM q),
+m AS (SELECT span_row_id, b, CASE WHEN len(ws) = 0 OR coalesce(b, '') = '' THEN '' WHEN contains(b, q) THEN q ELSE regexp_extract(b, array_to_string(list_transform(ws, lambda x: regexp_escape(x)), '{WS}+')) END AS m FROM w)
+SELECT span_row_id, CASE WHEN coalesce(m, '') = '' THEN -1 ELSE strpos(b, m) - 1 END::INTEGER AS char_start, CASE WHEN coalesce(m, '') = '' THEN -1 ELSE strpos(b, m) - 1 + length(m) END::INTEGER AS char_end FROM m""",
     "quote_places": f"{M.with_('sp', 'do')} SELECT span_row_id, coalesce(strpos(body, quote) - 1, -1)::INTEGER AS found_at FROM sp JOIN (SELECT doc_id, body FROM d) USING (doc_id) WHERE length(quote) > 0",
     "chunk_heading_depth": f"{M.with_('ch')} SELECT coalesce(len(heading_path), 0)::INTEGER AS depth, count(*) AS n_chunks, round(avg({_TOKENS}), 6) AS mean_tokens FROM ch GROUP BY 1",
     "chunk_overlaps": f"""

@@ -458,9 +458,13 @@ def validate_case_schema(spark: SparkSession, d: str) -> DataFrame:
     return V.case_schema(formed).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+#: A category that cases should have, besides the fixed ones.
+WANTED = {"comparison": 1}
+
+
 def validate_distribution(spark: SparkSession, d: str) -> DataFrame:
     cases = _traces(spark, d).where("split IS NOT NULL AND case_id IS NOT NULL").select("case_id", "category", "split").distinct()
-    return V.distribution(cases, V.LEAST_CASES)
+    return V.distribution(cases, V.LEAST_CASES | WANTED)
 
 
 def validate_undeclared(spark: SparkSession, d: str) -> DataFrame:

@@ -243,7 +243,7 @@ r AS (SELECT unnest(['id', 'category', 'question', 'expected_behaviour', 'split'
   NOT answerable AND expected_behaviour <> 'abstain', category = 'multi_hop' AND nd < 2, category = 'ambiguous' AND expected_behaviour <> 'clarify']) AS bad FROM c)
 SELECT problem, count(*) AS n FROM r WHERE coalesce(bad, true) GROUP BY problem""",
     "validate_distribution": f"""{W("tr")}, ca AS (SELECT DISTINCT case_id, category, split FROM tr WHERE split IS NOT NULL AND case_id IS NOT NULL),
-pe AS (SELECT category, count(*) AS n, count(DISTINCT split) AS n_splits FROM ca GROUP BY 1), le AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in V.LEAST_CASES.items())}) v(category, least)),
+pe AS (SELECT category, count(*) AS n, count(DISTINCT split) AS n_splits FROM ca GROUP BY 1), le AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in (V.LEAST_CASES | {"comparison": 1}).items())}) v(category, least)),
 o AS (SELECT category, coalesce(n, 0) AS n, coalesce(n_splits, 0) AS n_splits, coalesce(least, 0) AS least FROM pe FULL JOIN le USING (category))
 SELECT * FROM (SELECT category, n, n_splits, CASE WHEN n < least THEN 'too few' WHEN n_splits < 2 AND n > 1 THEN 'one split' END AS problem FROM o
 UNION ALL SELECT '*', count(*), count(DISTINCT split), CASE WHEN count(*) < {V.LEAST_TOTAL} THEN 'too few' END FROM ca) WHERE problem IS NOT NULL""",
@@ -266,6 +266,6 @@ def _plain(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({x}, '[*_`|]', ' ', 'g'), '{WS}+', ' ', 'g'))"
 
 
-GAPS = {"unanswerable": ["withholding", "biometric", "Chargeback ledger"], "ambiguous": ["voice print", "the retry"]}
+GAPS = {"unanswerable": ["withholding", "biometric", "Locker"], "ambiguous": ["voice print", "the retry"]}
 ORACLES["validate_unanswerable"] = ORACLES["validate_unanswerable"].format(terms=", ".join(f"('{g}', '{t}')" for g, ts in GAPS.items() for t in ts))
 ORACLES["validate_superseded_values"] = ORACLES["validate_superseded_values"].format(plain_body=_plain("coalesce(b.body, '')"), plain_value=_plain("o.value"))

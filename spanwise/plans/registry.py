@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, references, streams
+from . import corpus, evaluation, references, sources, streams
 
-MODULES = [evaluation, corpus, references, streams]
+MODULES = [evaluation, corpus, references, sources, streams]
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .operators import stats as G
 
 METRICS = ["recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "mrr", "document_recall", "required_fact_coverage", "citation_validity", "citation_precision_doc", "claim_citation_coverage"]
@@ -29,7 +30,7 @@ def compare(baseline: DataFrame, improved: DataFrame, resamples: int = G.RESAMPL
     """Two runs' traces, case by case over the cases free of errors in both: a dictionary of small results."""
     b, i = flat(baseline), flat(improved)
     shared = b.select("case_id").join(i.select("case_id"), "case_id")
-    b, i = b.join(shared, "case_id").cache(), i.join(shared, "case_id").cache()
+    b, i = materialise(b.join(shared, "case_id")), materialise(i.join(shared, "case_id"))
     rows = {r["metric"]: r.asDict() for r in G.compare_exact(G.pair(b, i, [*METRICS, "abstention_correct"]), resamples=resamples, seed=seed).collect()}
     small = lambda x: round(x, 4) if isinstance(x, float) else x
     total = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in COUNTERS]).head().asDict()

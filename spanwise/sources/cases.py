@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import DatasetError, HeldOutSplitError
 from ..functions.spans import resolve_quote
 
+#: Names of the data set's fields, below too: fixed values.
 CASES = (
     "case_id string, case_pos int, category string, question string, answerable boolean, reference_answer string, expected_behaviour string, split string, "
     "expected_document_ids array<string>, forbidden_claims array<string>, source_chain_id string, gap_id string, scoring_notes string, acceptable_answer_notes string"
