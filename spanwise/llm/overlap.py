@@ -23,6 +23,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
+from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 from ..common import materialise, parallelism
 from .words import words
 
-PASSAGES_PER_SHARD = 400_000
-"""Passages of the evaluation texts of one shard: what goes through the driver at once (some 40 MB), and into an automaton (some 200 MB)."""
-WORD_SLOTS = 2**18
-"""Words are counted by slots, so that the counts that are broadcast (2 MB) do not grow with the data.  They choose passages, no more."""
+PASSAGES_PER_SHARD = 300_000
+"""Passages of the evaluation texts of one shard: what goes through the driver at once (some 30 MB), and into an automaton (some 150 MB)."""
+SLOTS = 2**20
+"""Passages are counted by slots, so that the counts that are broadcast (8 MB) do not grow with the data.  They rank passages,
+and tell which no training text has."""
 HITS = 2
 """Rare passages that must be met before a pair is looked at; ``least_passages`` is never less."""
 OPEN, CLOSE = "\x02", "\x03"
@@ -50,16 +53,11 @@ def broken_most(n: int, threshold: Fraction) -> int:
     return max(2 * e + math.floor((n - e) / threshold - n) for e in range(math.floor(n * (1 - threshold)) + 1))
 
 
+@cache
 def least_passages(n: int, threshold: Fraction) -> int:
     return max(1, n + 1 - broken_most(n, threshold))
 
 
-def rarest(n: int, threshold: Fraction) -> int:
-    """How many of the rarest passages surely hold min(HITS, least_passages) of those that occur in both."""
-    least = least_passages(n, threshold)
-    return n + 1 - least + min(HITS, least)
-
-
 def normal_form(text: str | None) -> str:
     return " ".join(sorted(set(words(text))))
 
@@ -103,46 +101,40 @@ def text_classes(df: DataFrame) -> DataFrame:
     return df.select("owner", "field", "text").mapInArrow(run, "owner string, field string, cls binary, norm string, n int")
 
 
-def slot(word: str) -> int:
-    return zlib.crc32(word.encode()) % WORD_SLOTS
+def slot(passage: str) -> int:
+    return zlib.crc32(passage.encode()) % SLOTS
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How many of texts(norm) have a word of each slot; combined before the shuffle, at most WORD_SLOTS rows."""
-    word = F.explode(F.split("norm", " ")).alias("w")
-    rows = texts.select(word).groupBy((F.crc32(F.col("w").cast("binary")) % WORD_SLOTS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toPandas()
-    counts = np.zeros(WORD_SLOTS, np.int64)
+def passage_counts(texts: DataFrame) -> np.ndarray:
+    """How many of texts(norm) have a passage of each slot; combined before the shuffle, at most SLOTS rows."""
+    ws = F.split("norm", " ")
+    both = F.zip_with(F.concat(F.array(F.lit(OPEN)), ws), F.concat(ws, F.array(F.lit(CLOSE))), lambda a, b: F.crc32(F.concat(F.lit(" "), a, F.lit(" "), b, F.lit(" ")).cast("binary")))
+    rows = texts.select(F.explode(both).alias("h")).groupBy((F.col("h") % SLOTS).cast("int").alias("slot")).agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return counts
 
 
-def picks(norm: str, counts: np.ndarray, threshold: Fraction, slots: dict[str, int]) -> tuple[list[int], list[int]]:
+def picks(norm: str, counts: np.ndarray, threshold: Fraction) -> tuple[list[int], list[int]]:
     """Places of the passages to look for, the rarest, and of those that some training text may have.  The
-    former are [] where too few of them are among the latter for a match."""
-    ws = norm.split(" ")
-    n = len(ws)
-    often = []
-    for w in ws:
-        if w not in slots:
-            slots[w] = slot(w)
-        often.append(int(counts[slots[w]]))
-    # a passage is no more frequent than either word
-    most = [often[0], *map(min, often, often[1:]), often[-1]]
-    chosen = sorted(range(n + 1), key=lambda i: (most[i], i))[: rarest(n, threshold)]
-    chosen = [i for i in chosen if most[i]]
-    there = [i for i, m in enumerate(most) if m]
-    return (chosen if len(chosen) >= min(HITS, least_passages(n, threshold)) and len(there) >= least_passages(n, threshold) else []), there
+    former are [] where too few of them, or of all, are among the latter for a match."""
+    often = [int(counts[slot(p)]) for p in passages(norm)]
+    n = len(often) - 1
+    least = least_passages(n, threshold)
+    there = [i for i, m in enumerate(often) if m]
+    if len(there) < least:
+        return [], there
+    chosen = sorted(range(n + 1), key=lambda i: (often[i], i))[: n + 1 - least + min(HITS, least)]
+    chosen = [i for i in chosen if often[i]]
+    return (chosen if len(chosen) >= min(HITS, least) else []), there
 
 
 def _queries(texts: DataFrame, counts, threshold: Fraction) -> DataFrame:
     """(field, cls, norm, n, picks, there) of the evaluation texts that can match at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots: dict[str, int] = {}
         for batch in batches:
-            if len(slots) > 500_000:
-                slots.clear()
-            got = [picks(x, counts.value, threshold, slots) for x in batch.column("norm").to_pylist()]
+            got = [picks(x, counts.value, threshold) for x in batch.column("norm").to_pylist()]
             keep = [i for i, (x, _) in enumerate(got) if x]
             lists = [pa.array([got[i][j] for i in keep], pa.list_(pa.int32())) for j in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, *lists], ["field", "cls", "norm", "n", "picks", "there"])
@@ -183,18 +175,15 @@ def build(rows: list[tuple[bytes, str, list[int], list[int]]], threshold: Fracti
 def matches(shard: Shard, norm: str, threshold: Fraction) -> Iterator[tuple[bytes, float, float]]:
     """(class, coverage, similarity) of the evaluation texts that the training text *norm* overlaps."""
     hits = {v for _, v in shard.automaton.iter(f" {OPEN} {norm} {CLOSE} ")}
-    count: Counter[int] = Counter()
-    for v in hits:
-        count.update(shard.posting[v])
+    count = Counter(chain.from_iterable(map(shard.posting.__getitem__, hits)))
     if not count:
         return
     up, down = threshold.numerator, threshold.denominator
-    theirs: set[str] = set()
-    for e, times in count.items():
-        if times < min(HITS, shard.least[e]):
-            continue
-        theirs = theirs or set(norm.split(" "))
-        ws, m = shard.words[e], len(theirs)
+    theirs = set(norm.split(" "))
+    m = len(theirs)
+    # most are met once, which is enough for very short texts only
+    for e in [e for e, times in count.items() if times >= HITS or times >= shard.least[e]]:
+        ws = shard.words[e]
         n = len(ws)
         if min(n, m) * down < up * max(n, m):
             continue
@@ -247,9 +236,9 @@ def overlaps(texts: DataFrame, sides: DataFrame, threshold: Fraction | str = "3/
     once = rows.select("field", "cls", "norm", "n").repartition(parallelism(spark), "cls").dropDuplicates(["cls"])
     once = materialise(once.join(roles, "cls").select("field", "cls", "norm", "n", "train", "eval"))
     train = once.where("train").select("field", "cls", "norm")
-    counts = spark.sparkContext.broadcast(word_counts(train))
+    counts = spark.sparkContext.broadcast(passage_counts(train))
     queries = materialise(_queries(once.where("eval"), counts, threshold))
-    shards = max(1, math.ceil((queries.agg(F.sum(F.col("n") + 1)).head()[0] or 0) / PASSAGES_PER_SHARD))
+    shards = max(1, math.ceil((queries.agg(F.sum(F.size("there"))).head()[0] or 0) / PASSAGES_PER_SHARD))
     links = spark.createDataFrame([], LINKS)
     for i in range(shards):
         own: dict[str, list] = {}

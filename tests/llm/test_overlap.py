@@ -79,13 +79,12 @@ def test_coverage_comes_from_the_automaton():
     assert list(O.matches(shard, "d x y z", Fraction(1, 2))) == []
 
 
-def test_passages_without_a_training_word_are_left_out():
-    counts = O.np.zeros(O.WORD_SLOTS, int)
-    for w in "abc":
-        counts[O.slot(w)] = 5
-    counts[O.slot("b")] = 1
-    assert O.picks("a b c d", counts, Fraction(1, 2), {}) == ([1, 2, 0], [0, 1, 2])
-    assert O.picks("x y z", counts, Fraction(1, 2), {})[0] == []
+def test_passages_that_no_training_text_has_are_left_out():
+    counts = O.np.zeros(O.SLOTS, int)
+    for p, n in ((" a b ", 1), (" b c ", 5), (f" {O.OPEN} a ", 5)):
+        counts[O.slot(p)] = n
+    assert O.picks("a b c d", counts, Fraction(1, 2)) == ([1, 0, 2], [0, 1, 2])
+    assert O.picks("x y z", counts, Fraction(1, 2)) == ([], [])
 
 
 def test_counts_need_no_pairs(spark):
