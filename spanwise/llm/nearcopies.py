@@ -29,6 +29,8 @@ HOT_SHARE = 1000
 mean number of k-mers of a text, however many texts there are: the list that is broadcast is bounded.  It
 orders k-mers, no more: the rarer come first, whatever counts as common."""
 HOT_LEAST = 20
+MOST_COMMON = 1_000_000
+"""At most so many (16 MB) are broadcast, the most frequent: texts of very many k-mers have more."""
 MOST_IN_BUCKET = 200
 """Texts of a larger bucket are paired by the prefix filter, which loses no pair."""
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -333,7 +335,7 @@ def near_pairs(df: DataFrame, key: str, text: str, *, k: int = 5, threshold: flo
 
     dense = texts.where("crowded").select("cls", "text")
     often = max(HOT_LEAST, dense.count() // HOT_SHARE)
-    common = _common(dense, k).where(F.col("n") >= often).toPandas()
+    common = _common(dense, k).where(F.col("n") >= often).orderBy(F.col("n").desc(), "kmer").limit(MOST_COMMON).toPandas()
     kmers = common["kmer"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(kmers)
     hot = spark.sparkContext.broadcast((kmers[order], common["n"].to_numpy(np.int64)[order]))
