@@ -158,7 +158,7 @@ def _above(a: float) -> float:
     return max(0.5 * math.erfc(a / _SQRT2), 1e-12)
 
 
-def fit_limit(x: np.ndarray, n: np.ndarray, limit: int, width: int, rounds: int = 40) -> tuple[float, float, np.ndarray]:
+def fit_limit(x: np.ndarray, n: np.ndarray, limit: int, width: int, rounds: int = 100) -> tuple[float, float, np.ndarray]:
     """(log likelihood, share of longer texts that are cut, chance of a cut at each length in x), by EM.
 
     x: lengths, n: how many texts have them.  A text longer than *limit* is cut with the share rho and then
@@ -166,7 +166,7 @@ def fit_limit(x: np.ndarray, n: np.ndarray, limit: int, width: int, rounds: int
     """
     y, total, log_limit = np.log(x), n.sum(), math.log(limit)
     near, over = (x >= limit - width) & (x <= limit), x > limit
-    below = np.where(near, limit - x, 0)
+    below, longer = np.where(near, limit - x, 0), float(n[over].sum())
     shapes = [f ** np.arange(width + 1) / (f ** np.arange(width + 1)).sum() for f in FALLS] if width else [np.ones(1)]
     shape = shapes[-1]
     mu = float((n * y).sum() / total)
@@ -188,10 +188,12 @@ def fit_limit(x: np.ndarray, n: np.ndarray, limit: int, width: int, rounds: int
         h = math.exp(-0.5 * a * a) / _SQRT2PI / _above(a)
         first, second = mu + sd * h, mu * mu + sd * sd + sd * h * (log_limit + mu)
         w = n * (1 - p)
-        mu_next = (float((w * y).sum()) + c * first) / total
-        sd = math.sqrt(max((float((w * y * y).sum()) + c * second) / total - mu_next**2, 0.0025))
-        mu = mu_next
-        rho = min(max((c + 1e-3) / (c + float(n[over].sum()) + 2e-3), 1e-6), 1 - 1e-6)
+        before = mu, sd, rho
+        mu = (float((w * y).sum()) + c * first) / total
+        sd = math.sqrt(max((float((w * y * y).sum()) + c * second) / total - mu**2, 0.0025))
+        rho = min(max((c + 1e-3) / (c + longer + 2e-3), 1e-6), 1 - 1e-6)
+        if max(abs(a - b) for a, b in zip(before, (mu, sd, rho), strict=True)) < 1e-5:
+            break
     pdf, cut = seen()
     like = np.where(over, (1 - rho) * pdf, pdf + cut)
     return float((n * np.log(np.maximum(like, 1e-300))).sum()), rho, cut / np.maximum(cut + pdf, 1e-300)
