@@ -7,8 +7,8 @@ of the batch are worked on.  Events may come in any order and any batches: the s
 them is the same.  ``forget`` drops what no late event can change.
 
 How many rows of a key are there at an instant is a running sum over its events.  Instants are
-cut into even slices over all keys, and sums carried from slice to slice, so a key that
-holds a third of all rows is spread over a third of the tasks.
+cut into slices of equal numbers of rows, and sums carried from slice to slice, so a key that
+holds a third of all rows is spread over a third of the slices at least.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ CHANGE, REFERENCE = 1, 2
 """Order of events at one instant: a row is there from its start (included) and gone at its stop."""
 ALWAYS, AT_LAST = "0001-01-01", "9999-12-31"
 """Instants of parents and of references where the time does not matter."""
+SLICES = 64
 EVENT = ["field", "key", "t", "made_at", "ref_id", "kind", "delta"]
 
 
@@ -60,25 +61,37 @@ class State(NamedTuple):
     snapshot: DataFrame
 
 
-def _there(instants: DataFrame) -> DataFrame:
+def slice_edges(*tables: DataFrame, slices: int = SLICES) -> list[int]:
+    """Instants (microseconds) that cut the rows of *tables*(t) into about equal slices: no key has more rows in one than all rows / *slices*."""
+    at = F.unix_micros(F.col("t").cast("timestamp"))
+    times = tables[0].select("t")
+    for other in tables[1:]:
+        times = times.unionByName(other.select("t"))
+    return sorted(set(times.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 1000)).head()[0] or []))
+
+
+def _there(instants: DataFrame, edges: list[int]) -> DataFrame:
     """(field, key, t, orphan) of each reference instant among instants(field, key, t, kind, delta), which are distinct."""
-    cut = materialise(instants.repartitionByRange("field", "key", "t", "kind").withColumn("slice", F.spark_partition_id()))
+    at = F.unix_micros(F.col("t").cast("timestamp"))
+    number = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < at)) if edges else F.lit(0)
+    cut = materialise(instants.withColumn("slice", number))
     nets = cut.groupBy("field", "key", "slice").agg(F.sum("delta").alias("net"))
     w = W.partitionBy("field", "key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     carried = nets.select("field", "key", "slice", F.sum("net").over(w).alias("delta")).where("delta <> 0")
     opening = carried.select("field", "key", F.lit(None).cast("timestamp_ntz").alias("t"), F.lit(0).alias("kind"), "delta", "slice")
-    w = W.partitionBy("slice", "field", "key").orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy("field", "key", "slice").orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = cut.select(*opening.columns).unionByName(opening).withColumn("there", F.sum("delta").over(w))
     return sums.where(F.col("kind") == REFERENCE).select("field", "key", "t", (F.col("there") <= 0).alias("orphan"))
 
 
-def advance(before: State | None, events: DataFrame) -> tuple[State, DataFrame]:
+def advance(before: State | None, events: DataFrame, edges: list[int] | None = None) -> tuple[State, DataFrame]:
     """(the state after *events*, changed(field, key, ref_id, t, status)).
 
     status is ``orphan`` or ``met`` for a new reference, ``resolved`` for one that no longer waits,
     ``reopened`` for one that waits again.  A reference without a time can not be shown to have met its
     parent and waits for ever.  Equal references count once, in whatever batch they come again; changes
-    add up, so a batch must be taken in once.  *events* is read several times.  Empty input changes nothing.
+    add up, so a batch must be taken in once.  *events* is read several times.  *edges* are those of
+    ``slice_edges`` for all events, by default of those so far.  Empty input changes nothing.
     """
     key = ["field", "key"]
     new_changes = events.where(F.col("kind") == CHANGE).groupBy(*key, "t").agg(F.sum("delta").alias("delta"))
@@ -92,11 +105,13 @@ def advance(before: State | None, events: DataFrame) -> tuple[State, DataFrame]:
         old = before.refs.join(touched, key, "left_semi").withColumnRenamed("orphan", "was")
         refs = old.unionByName(new_refs).groupBy(*key, "t", "made_at", "ref_id").agg(F.max("was").alias("was"))
     changes = materialise(changes.where("delta <> 0"))
+    if edges is None:
+        edges = slice_edges(events, *([before.changes, before.refs] if before else []))
     asked = refs.where("t IS NOT NULL").select(*key, "t").distinct()
     # the parents of keys without a reference in question need no sum
     index = changes.join(asked.select(*key).distinct(), key, "left_semi")
     instants = index.select(*key, "t", F.lit(CHANGE).alias("kind"), "delta").unionByName(asked.select(*key, "t", F.lit(REFERENCE).alias("kind"), F.lit(0).cast("bigint").alias("delta")))
-    judged = refs.join(_there(instants), [*key, "t"], "left").withColumn("orphan", F.coalesce("orphan", F.lit(True)))
+    judged = refs.join(_there(instants, edges), [*key, "t"], "left").withColumn("orphan", F.coalesce("orphan", F.lit(True)))
     kept = judged if same is None else judged.unionByName(same.withColumn("was", F.col("orphan")))
     kept = materialise(kept)
     status = F.when(F.col("was").isNull(), F.when(F.col("orphan"), "orphan").otherwise("met")).when(F.col("orphan"), "reopened").otherwise("resolved")
@@ -118,14 +133,18 @@ def forget(state: State, before: str) -> State:
     return State(changes, refs, refs.groupBy("field").agg(F.count("*").alias("n_references"), F.count(F.when(F.col("orphan"), 1)).alias("n_waiting")))
 
 
-def follow(events: DataFrame, rounds: int = 3) -> State:
+def follow(events: DataFrame, rounds: int = 2) -> State:
     """The state after *events*, taken in in the order of their arrival, in *rounds* batches of about equal size."""
     events = materialise(events)
-    marks = events.agg(F.percentile_approx(F.unix_micros(F.col("arrived").cast("timestamp")), [i / rounds for i in range(1, rounds)], 1000)).head()[0] or []
-    n = sum((F.when(F.unix_micros(F.col("arrived").cast("timestamp")) > m, 1).otherwise(0) for m in marks), F.lit(0))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    shares = lambda n: [i / n for i in range(1, n)]
+    # one pass for the ends of the batches and for the slices of time
+    marks, edges = events.agg(F.percentile_approx(micros("arrived"), shares(rounds), 1000), F.percentile_approx(micros("t"), shares(SLICES), 1000)).head()
+    marks, edges = marks or [], sorted(set(edges or []))
+    n = sum((F.when(micros("arrived") > m, 1).otherwise(0) for m in marks), F.lit(0))
     state = None
     for i in range(len(marks) + 1):
-        state, _ = advance(state, events.where(n == i))
+        state, _ = advance(state, events.where(n == i), edges)
     return state
 
 

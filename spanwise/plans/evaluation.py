@@ -293,7 +293,7 @@ def _light(spark: SparkSession, d: str) -> DataFrame:
     t = _ok(_traces(spark, d))
     m = retrieval_metrics(spark, d).select(*KEY, "recall_at_5", "mrr")
     a = A.abstention(t).select(*KEY, "correct")
-    return materialise(t.select(*KEY, "pipeline_name", "category", "latency_ms", "ingested_at").join(m, KEY).join(a, KEY))
+    return t.select(*KEY, "pipeline_name", "category", "latency_ms", "ingested_at").join(m, KEY).join(a, KEY)
 
 
 METRICS = ["recall_at_5", "mrr", "correct"]
@@ -338,6 +338,10 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("run_id", "pipeline_name").agg(F.count("*").alias("n_cases"), F.count(F.when(failed, 1)).alias("n_errors"), F.countDistinct("category").alias("n_categories"), F.min("top_k").alias("top_k"), F.count(F.when(F.size("unresolved_labels") > 0, 1)).alias("n_with_unresolved"))
 
 
+def _two_arms(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(_light(spark, d).where("pipeline_name IN ('baseline', 'improved')"))
+
+
 def _arm(light: DataFrame, name: str) -> DataFrame:
     """The last run of each case in a pipeline."""
     rows = light.where(F.col("pipeline_name") == name)
@@ -350,17 +354,17 @@ def _pairs(light: DataFrame) -> DataFrame:
 
 def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Paired means by category over the cases that both arms define."""
-    light = _light(spark, d)
+    light = _two_arms(spark, d)
     cats = _arm(light, "baseline").select("case_id", "category")
     return _pairs(light).join(cats, "case_id").groupBy("metric", "category").agg(F.count("*").alias("n"), r6(F.avg("baseline")).alias("baseline"), r6(F.avg("improved")).alias("improved"), r6(F.avg(F.col("improved") - F.col("baseline"))).alias("delta"))
 
 
 def paired_bootstrap_exact(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.compare_exact(_pairs(_light(spark, d))))
+    return rounded(G.compare_exact(_pairs(_two_arms(spark, d))))
 
 
 def paired_bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(G.compare_poisson(_pairs(_light(spark, d))))
+    return rounded(G.compare_poisson(_pairs(_two_arms(spark, d))))
 
 
 def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
