@@ -42,6 +42,43 @@ def test_bm25_ranks_every_item(spark):
     assert mine == brute_bm25(queries, docs, 6)
 
 
+@pytest.mark.parametrize("limit", [200_000, 40])
+def test_bm25_equals_brute_force_with_one_block_or_many(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "QUERY_BLOCK_TERMS", limit)
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(30)] + ["the"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 15))) for _ in range(60)]
+    docs = {f"d{i:03d}": texts[i % 60] for i in rnd.sample(range(150), 150)}
+    queries = {f"q{i:02d}": " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for i in range(30)}
+    got = R.bm25_top_k(spark.createDataFrame(list(queries.items()), "query_id string, text string"), spark.createDataFrame(list(docs.items()), "item_id string, text string").repartition(3), 4).collect()
+    mine = {q: [(r.item_id, round(r.score, 6)) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in queries}
+    assert mine == brute_bm25(queries, docs, 4)
+
+
+def shuffled(spark, make):
+    """Records that the stages of *make* wrote for a shuffle."""
+    sc = spark.sparkContext
+    store, no = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, no, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    make().collect()
+    return total() - before
+
+
+def test_bm25_shuffles_no_row_per_query_and_item(spark):
+    rnd = random.Random(1)
+    words = ["fee", "plan", "card", "limit", "payout", "rate"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    queries = spark.createDataFrame([(f"q{i}", text(4)) for i in range(50)], "query_id string, text string")
+    docs = spark.createDataFrame([(f"d{i}", text(8)) for i in range(800)], "item_id string, text string")
+    assert shuffled(spark, lambda: R.bm25_top_k(queries, docs, 3)) < 50 * 800 / 10
+
+
 @pytest.mark.parametrize("limit", [32 * 2**20, 200])
 def test_dense_search_is_exact_with_one_block_or_many(spark, monkeypatch, limit):
     monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", limit)
