@@ -2,12 +2,15 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanwise.functions import text as T
 from spanwise.operators import retrieval as R
+from spanwise.plans import evaluation as E
+from spanwise.plans import evaluation_sql
 
 STOP = set(T.STOPWORDS)
 
@@ -66,7 +69,7 @@ def shuffled(spark, make):
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = total()
-    make().collect()
+    make()
     return total() - before
 
 
@@ -76,7 +79,30 @@ def test_bm25_shuffles_no_row_per_query_and_item(spark):
     text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     queries = spark.createDataFrame([(f"q{i}", text(4)) for i in range(50)], "query_id string, text string")
     docs = spark.createDataFrame([(f"d{i}", text(8)) for i in range(800)], "item_id string, text string")
-    assert shuffled(spark, lambda: R.bm25_top_k(queries, docs, 3)) < 50 * 800 / 10
+    assert shuffled(spark, lambda: R.bm25_top_k(queries, docs, 3).collect()) < 50 * 800 / 10
+
+
+def test_scorecard_equals_its_sql_and_shuffles_no_row_per_query_and_chunk(spark, tmp_path):
+    rnd = random.Random(2)
+    words = ["fee", "plan", "card", "limit", "payout", "rate", "2.9%"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    at = "timestamp '2025-01-01'"
+    chunks = [(f"d{i % 20}#{i}", f"d{i % 20}", text(8), i, i + 40) for i in range(800)]
+    spark.createDataFrame(chunks, "chunk_id string, doc_id string, text string, char_start int, char_end int").selectExpr("*", "array('h') AS heading_path", f"{at} AS indexed_at").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(f"C-{i * 100:08d}", text(4)) for i in range(50)], "case_id string, query string").write.parquet(f"{tmp_path}/traces.parquet")
+    spans = [(i, f"C-{i % 50 * 100:08d}", f"d{i % 20}", "q", 10 * i, 10 * i + 30) for i in range(75)]
+    spark.createDataFrame(spans, "span_row_id bigint, case_id string, doc_id string, quote string, char_start int, char_end int").selectExpr("*", f"{at} AS authored_at").write.parquet(f"{tmp_path}/evidence_spans.parquet")
+    rows = []
+    assert shuffled(spark, lambda: rows.extend(E.retrieval_scorecard(spark, str(tmp_path)).collect())) < 50 * 800 / 4
+    con = duckdb.connect()
+    for t in ("chunks", "traces", "evidence_spans"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(evaluation_sql.ORACLES["retrieval_scorecard"])
+    cols = [c[0] for c in cur.description]
+    want = {r["case_id"]: r for r in (dict(zip(cols, x, strict=True)) for x in cur.fetchall())}
+    assert len(rows) == len(want) == 50
+    for r in rows:
+        assert r.asDict() == {c: pytest.approx(v, abs=1e-6) if isinstance(v, float) else v for c, v in want[r.case_id].items()}
 
 
 @pytest.mark.parametrize("limit", [32 * 2**20, 200])
