@@ -82,6 +82,28 @@ def test_bm25_shuffles_no_row_per_query_and_item(spark):
     assert shuffled(spark, lambda: R.bm25_top_k(queries, docs, 3).collect()) < 50 * 800 / 10
 
 
+@pytest.mark.parametrize("limit", [200_000, 60])
+def test_bm25_shuffles_no_more_rows_for_more_tasks(spark, monkeypatch, limit):
+    monkeypatch.setattr(R, "QUERY_BLOCK_TERMS", limit)
+    rnd = random.Random(4)
+    words = ["fee", "plan", "card", "limit", "payout", "rate"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    queries, docs = {f"q{i:02d}": text(4) for i in range(50)}, {f"d{i:04d}": text(8) for i in range(1200)}
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false", "spark.sql.files.maxPartitionBytes": "1k"}
+    old = {c: spark.conf.get(c, None) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        got = []
+        q, d = spark.createDataFrame(list(queries.items()), "query_id string, text string"), spark.createDataFrame(list(docs.items()), "item_id string, text string")
+        assert shuffled(spark, lambda: got.extend(R.bm25_top_k(q, d, 10).collect())) < 10_000  # 20,000 with a task for each of 40 files
+    finally:
+        for c, v in old.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    mine = {q: [(r.item_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in queries}
+    assert mine == {q: [(i, pytest.approx(x, abs=1e-6)) for i, x in own] for q, own in brute_bm25(queries, docs, 10).items()}
+
+
 def test_scorecard_equals_its_sql_and_shuffles_no_row_per_query_and_chunk(spark, tmp_path):
     rnd = random.Random(2)
     words = ["fee", "plan", "card", "limit", "payout", "rate", "2.9%"]
